@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, packing, sharding, token_counts
+from strandline.llm import bpe, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_counts": token_counts.op6_token_counts,
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe": bpe.op10_bpe,
