@@ -42,5 +42,4 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def words_of(text: Column) -> Column:
     """Array of the words of ``text``; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}|{SPACES}\\z", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES, -1))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")

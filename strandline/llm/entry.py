@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, packing, sharding, token_counts, toxicity
+from strandline.llm import bpe, packing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_counts": token_counts.op6_token_counts,
@@ -12,4 +13,4 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
