@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +26,19 @@ END_ID = 2
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 SLICE_ROWS = 256
 #: White space for ``str.split`` but not for the vocabulary's own pattern.
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Lower-case Latin letters, whose case and composed form need no context, then punctuation; else two empty groups.
+_LATIN = re.compile(r"^(?:([a-z\u00df-\u00f6\u00f8-\u024f]{1,40})([.,;:!?#*$%&|]{0,8})|.*)$", re.MULTILINE)
+
 
 
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never merges across it, so texts are encoded word by word
-    and frequent words are looked up. Texts with separators that only Python calls white space are
-    encoded whole.
+    and frequent words are looked up. New words that are Latin letters and then punctuation have
+    their letters encoded together in one call, since such a run ends where a token with a word end
+    does. Texts with separators that only Python calls white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -42,22 +47,54 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters."""
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(runs) or (len(stops) and stops[-1] != len(ids)):
+            return self._encode(runs)
+        flat, stops = ids.tobytes(), (4 * stops).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of the words ``new``; short ones are kept."""
+        known, letters, rare = self.known, self.letters, {}
+        parts = _LATIN.findall("\n".join(new).lower())
+        wanted = {run for run, _ in parts} - letters.keys() - {""}
+        if wanted:
+            wanted = list(wanted)
+            letters.update(zip(wanted, self._runs(wanted)))
+        marks = {mark for _, mark in parts} - letters.keys() - {""}
+        if marks:
+            marks = list(marks)
+            letters.update(zip(marks, self._encode(marks)))
+        letters[""] = b""
+        known.update((w, letters[run] + letters[mark]) for w, (run, mark) in zip(new, parts) if run)
+        whole = [w for w, (run, _) in zip(new, parts) if not run]
+        for w, ids in zip(whole, self._encode(whole) if whole else ()):
+            (known if len(w) <= CACHE_CHARS else rare)[w] = ids
+        return rare
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if not _SEPARATORS.isdisjoint(t) else t.split() for t in texts]
+        split = [None if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        new = {w for words in split if words for w in set(words) if w not in known}
-        rare = {}
-        if new:
-            new = list(new)
-            for w, ids in zip(new, self._encode(new)):
-                (known if len(w) <= CACHE_CHARS else rare)[w] = ids
+        if len(self.letters) > CACHE_WORDS:
+            self.letters.clear()
+        known, new = self.known, set()
+        for words in split:
+            if words:
+                new |= set(words).difference(known)
+        rare = self._learn(list(new)) if new else {}
         out = []
         for t, words in zip(texts, split):
             if words is None:
