@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, packing, pii, quality, sharding, token_counts, toxicity
+from strandline.llm import bpe, packing, pii, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_simhash": simhash.op2_simhash,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_counts": token_counts.op6_token_counts,
