@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, packing, pii, quality, sharding, simhash, token_counts, toxicity
+from strandline.llm import bpe, embedding_dedup, packing, pii, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_pii": pii.op8_pii,
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe": bpe.op10_bpe,
