@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, embedding_dedup, packing, pii, quality, sharding, simhash, token_counts, toxicity
+from strandline.llm import bpe, embedding_dedup, packing, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_counts": token_counts.op6_token_counts,
