@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import documents, table
 
 #: Bounds of a worker's caches: entries, and characters of a key.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 40
 SLICE_ROWS = 256
 
 
@@ -47,6 +47,17 @@ class RankQueue:
         else:
             heappush(bucket, position)
 
+    def remove(self, rank: int) -> None:
+        """Forget an empty bucket."""
+        del self.buckets[rank]
+        middle = rank >> 6
+        word = self.low[middle] = self.low[middle] & ~(1 << (rank & 63))
+        if not word:
+            high = rank >> 12
+            word = self.mid[high] = self.mid[high] & ~(1 << (middle & 63))
+            if not word:
+                self.top &= ~(1 << high)
+
     def pop(self) -> tuple[int, int] | None:
         top = self.top
         if not top:
@@ -59,13 +70,7 @@ class RankQueue:
         bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
-            del self.buckets[rank]
-            word &= word - 1
-            self.low[middle] = word
-            if not word:
-                self.mid[high] &= ~(1 << (middle & 63))
-                if not self.mid[high]:
-                    self.top &= ~(1 << high)
+            self.remove(rank)
         return rank, position
 
 
@@ -88,35 +93,51 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         n = len(piece)
-        push, pop = self.queue.push, self.queue.pop
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue, rank_of = self.queue, ranks.get
+        buckets, low, mid, push = queue.buckets, queue.low, queue.mid, queue.push
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         waiting = [-1] * (n + 1)  # rank of the pair that starts at a position, -1 for none
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = rank_of(piece[i : i + 2])
             if rank is not None:
                 waiting[i] = rank
-                push(rank, i)
-        while (found := pop()) is not None:
-            rank, i = found
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions come in order, so the list stays a heap
+                else:
+                    push(rank, i)
+        while top := queue.top:
+            # The lowest waiting rank, by find-first-set on three levels, and its leftmost position.
+            high = (top & -top).bit_length() - 1
+            word = mid[high]
+            middle = high << 6 | (word & -word).bit_length() - 1
+            word = low[middle]
+            rank = middle << 6 | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                word &= word - 1
+                low[middle] = word
+                if not word:
+                    word = mid[high] = mid[high] & ~(1 << (middle & 63))
+                    if not word:
+                        queue.top &= ~(1 << high)
             if waiting[i] != rank:
                 continue  # stale
             gone = after[i]
             end = after[i] = after[gone]
-            waiting[gone] = -1
+            waiting[gone] = waiting[i] = -1
             if end < n:
                 before[end] = i
                 stop = after[end]
-                new = ranks.get(piece[i:stop]) if stop - i <= longest else None
-            else:
-                new = None
-            if new is None:
-                waiting[i] = -1
-            else:
-                waiting[i] = new
-                push(new, i)
-            j = before[i]
-            if j >= 0:
-                new = ranks.get(piece[j:end]) if end - j <= longest else None
+                if stop - i <= longest and (new := rank_of(piece[i:stop])) is not None:
+                    waiting[i] = new
+                    push(new, i)
+            if i:
+                j = before[i]
+                new = rank_of(piece[j:end]) if end - j <= longest else None
                 if new is None:
                     waiting[j] = -1
                 elif new != waiting[j]:
@@ -124,8 +145,9 @@ class ByteBpe:
                     push(new, j)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            out.append(ranks[piece[i:end]])
+            i = end
         return out
 
     def pretokens(self, text: str) -> bytes:
@@ -154,7 +176,11 @@ class SpacedTexts(dict):
     texts go through ``encode`` whole. A key stands for itself with a space in front.
     """
 
-    _ODD = regex.compile(r"[^\S\n ]|[\x1c-\x1f]| [ \n]|\n[ \n]|\A | \z")
+    #: White space other than space and line feed for the pattern or for Python, and doubled or outer white space.
+    _ODD = [c for c in map(chr, range(0x3001)) if (c.isspace() or regex.match(r"\s", c)) and c not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
+
+    def _odd(self, text: str) -> bool:
+        return text[0] == " " or text[-1] == " " or any(map(text.__contains__, self._ODD))
 
     def __init__(self, encode: Callable[[str], bytes | int], joined: Callable):
         super().__init__()
@@ -187,7 +213,7 @@ class SpacedTexts(dict):
         return value
 
     def text(self, text: str) -> bytes | int:
-        if not text or self._ODD.search(text):
+        if not text or self._odd(text):
             return self.encode(text)
         first, *rest = text.split(" ")
         lines = first.split("\n")
