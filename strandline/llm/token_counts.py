@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.llm.bpe import SLICE_ROWS, SpacedTexts, load_ranks
-from strandline.llm.common import documents, table
+from strandline.llm.common import documents, materialize, table
 
 #: Lengths of one block share a window; blocks are then summed among themselves.
-BLOCK = 1024
+BLOCK = 256
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,6 +62,7 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
         .agg(F.count("*").alias("n_docs"))
         .select("*", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.expr(f"n_tokens div {BLOCK}").alias("block"))
     )
+    histogram = materialize(histogram)  # a row per length; read twice below, and counting is the dear part
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     blocks = (
