@@ -11,6 +11,7 @@ from strandline.functions import arrays as A
 from strandline.functions import sequences as S
 from strandline.operators import evaluation as E
 from strandline.operators import kernels as K
+from strandline.operators import refinement as N
 from strandline.operators import relations as R
 from strandline.operators import segmentation as G
 from strandline.operators import summary as M
@@ -558,3 +559,38 @@ def codec_round_trip(spark, sf):
     unpack = K.column(lambda d, n: K.decompress_signal(d, int(n)).tolist(), "array<bigint>")
     packed = _vectors(spark, sf).select("id", F.transform("x", lambda v: F.rint(v * 1000).cast("long")).alias("adc"), pack("x").alias("data"), F.size("x").cast("long").alias("n"))
     return packed.select("id", "n", (unpack("data", "n") == F.col("adc")).alias("equal"))
+
+
+@query()
+def refined_maps(spark, sf):
+    def refine(x):
+        import numpy as np
+
+        guess = np.linspace(0, len(x), 9).astype(int)
+        return N.refine_map(x, guess, [float(np.mean(x[a:b])) * 2 + 1 for a, b in zip(guess, guess[1:])], half=2)
+
+    return _vectors(spark, sf).select("id", K.column(refine, "array<bigint>")("x").alias("boundaries"))
+
+
+@query()
+def reference_scores(spark, sf):
+    panel = ["ACGT", "TTAC", "GGCA"]
+    shaped = lambda x: [[[x[(4 * t + s + k) % len(x)] for k in range(5)] for s in range(4)] for t in range(len(x) // 4)]
+    return _vectors(spark, sf).select("id", K.column(lambda x: N.reference_scores(shaped(x), panel, 4, 1), "array<double>")("x").alias("log_p"))
+
+
+@query(f"select id, p, round((v - m) / d, 6) as y from {_CELLS} join (select id, avg(v) as m, stddev_pop(v) as d from {_CELLS} group by id) using (id)")
+def folded_features(spark, sf):
+    fold = K.column(lambda x: N.fold_features(x, 1)["x"], "array<double>")
+    return _exploded(_vectors(spark, sf).select("id", fold("x").alias("y")))
+
+
+@query(f"select id, list(v order by p) as w from {_CELLS} where p > 10 and p <= 20 group by id")
+def signal_windows(spark, sf):
+    return _vectors(spark, sf).select("id", K.column(lambda x: N.signal_window(x, 15, 5, 5), "array<double>")("x").alias("w"))
+
+
+@query(f"select id, case when m >= 0.02 then c else -1 end as call from (select id, max(q) - max(case when r = 2 then q end) as m, max(case when r = 1 then p end) - 1 as c from (select id, p, q, row_number() over (partition by id order by q desc, p desc) as r from (select id, p, exp(v) / sum(exp(v)) over (partition by id) as q from {_CELLS} where p <= 8)) group by id)")
+def gated_calls(spark, sf):
+    p = _vectors(spark, sf).select("id", A.softmax(F.slice("x", 1, 8)).alias("p"))
+    return p.select("id", A.gated_call(F.col("p"), [0.02] * 8).alias("call"))
