@@ -33,8 +33,8 @@ from strandline.llm.common import documents, materialize, table
 WINDOW = 50
 #: Words of a run that may anchor a window.
 RUN = 8
-#: An anchor is hot above this many different regions, or this share of all, whichever is more.
-HOT_REGIONS, HOT_SHARE, HOT_ROUNDS = 2000, 1 / 20000, 3
+#: An anchor is hot above this many different regions, or this share of all, whichever is more, as estimated from one document in HOT_SAMPLE.
+HOT_REGIONS, HOT_SHARE, HOT_ROUNDS, HOT_SAMPLE = 2000, 1 / 20000, 3, 16
 #: Words of one index; a shard's anchors are indexed in groups of about so many.
 INDEX_WORDS = 400_000
 SLICE_ROWS = 128
@@ -42,7 +42,7 @@ SLICE_ROWS = 128
 _WORD_BASE, _RUN_BASE, _REGION_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=12)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     inverse = pow(base, -1, 1 << 64)
@@ -62,7 +62,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Hash of values[start:end] for each span, from one prefix sum."""
-    room = 1 << max(12, int(len(values)).bit_length())
+    room = 1 << max(17, int(len(values)).bit_length())
     power, inverse = _powers(base, room)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((values + np.uint64(1)) * power[: len(values)], dtype=np.uint64)])
     return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
@@ -263,21 +263,34 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def repeated_words(docs: DataFrame) -> DataFrame:
-    """For keyed documents (__id, __text, __key): key and ``spans``, the word ranges that repeat, for each key that has any."""
+def _distinct(found: DataFrame) -> DataFrame:
+    """Each different region once, for the smallest document that holds it."""
+    return found.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "key", "start")).alias("owner"), F.max("doc_id").alias("most"), F.first("n").alias("n"))
+
+
+def _hot_anchors(docs: DataFrame) -> list[int]:
+    """Anchors with too many different regions, estimated from every HOT_SAMPLE-th document by a hash of its key.
+
+    They only choose the shard of a window, so the estimate can't change a result. Their number is
+    bounded by 1 / HOT_SHARE a round.
+    """
+    sample = materialize(docs.where((F.col("__key") % HOT_SAMPLE == 0) & F.col("__id").isNotNull()))
     hot: list[int] = []
     for _ in range(HOT_ROUNDS):
-        found = _regions(docs, hot)
-        distinct = found.groupBy("anchor", "content").agg(
-            F.min(F.struct("doc_id", "key", "start")).alias("owner"), F.max("doc_id").alias("most"), F.first("n").alias("n")
-        )
-        distinct = materialize(distinct)
-        of_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("regions"), F.min("owner.doc_id").alias("least"), F.max("most").alias("most"))
-        limit = max(HOT_REGIONS, int(distinct.count() * HOT_SHARE))
-        new = [r.anchor for r in of_anchor.where(F.col("regions") > limit).select("anchor").collect() if r.anchor not in hot]
+        distinct = materialize(_regions(sample, hot).select("anchor", "content").distinct())
+        limit = max(HOT_REGIONS / HOT_SAMPLE, distinct.count() * HOT_SHARE)
+        new = [r.anchor for r in distinct.groupBy("anchor").count().where(F.col("count") > limit).select("anchor").collect() if r.anchor not in hot]
         if not new:
             break
         hot += new
+    return hot
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """For keyed documents (__id, __text, __key): key and ``spans``, the word ranges that repeat, for each key that has any."""
+    found = _regions(docs, _hot_anchors(docs))
+    distinct = materialize(_distinct(found).select("*", F.col("owner.doc_id").alias("least")))
+    of_anchor = distinct.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     shared = of_anchor.where("least < most").select("anchor")
     wanted = distinct.join(shared, "anchor", "left_semi").select("anchor", "content", F.col("owner.doc_id").alias("doc_id"), F.col("owner.key").alias("key"), F.col("owner.start").alias("start"), "n", "most")
     by_key = wanted.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "content", "start", "n", "most")).alias("wanted"))
