@@ -1,9 +1,10 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In each pass a vector gets a key of concatenated random hashes (quantised random projections); the
-vectors are put in lexicographic order of their keys by a range partitioning, and each is compared
-with its next neighbours. The window is bounded but grows while it keeps finding links, so a dense
-group is met whole. Verified pairs of all passes are united; components follow from them.
+vectors are numbered in lexicographic order of their keys over all partitions, and the order is cut
+into fixed blocks. Each block is compared with itself and the next one, and with blocks farther and
+farther on while it keeps finding links, so a dense group is met whole wherever partitions end. Links
+are counted where they are found and only a spanning forest is stored; components follow from it.
 
 Cosines are computed in double precision. Vectors alike in every component are one class, so copies
 are neither compared nor expanded into pairs.
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandline.llm.common import materialize, table
 from strandline.llm.components import connected_components
@@ -26,7 +28,10 @@ PASSES, HASHES, WINDOW, SEED = 12, 8, 64, 20240
 #: Width of a quantisation step for projections of unit vectors, in units of their usual spread.
 STEP = 1.0
 BLOCK = 512
-ROWS_PER_BATCH = 4096
+#: Blocks of ``window`` vectors in a tile, the unit that is compared in one group.
+TILE = 64
+#: Vectors a block has been compared with, in blocks, after so many rounds.
+REACH = np.array([0] + [1 << r for r in range(1, 63)])
 
 
 def _directions(seed: int, n: int, dims: int) -> np.ndarray:
@@ -41,39 +46,29 @@ def keys(unit: np.ndarray, seed: int, n_hashes: int = HASHES, step: float = STEP
     return (steps << np.arange(8 * (n_hashes - 1), -1, -8, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
-def window_links(unit: np.ndarray, ids: np.ndarray, threshold: float = COSINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sorted vectors with cosine >= threshold whose places differ by at most ``window``.
-
-    A block that finds links in the outer half of its window looks twice as far, and so on.
-    """
-    n, a, b = len(unit), [], []
-    for at in range(0, n, BLOCK):
-        rows, reach, done = unit[at : at + BLOCK], window, 0
-        places = np.arange(at, at + len(rows))
-        while True:
-            lo, hi = at + (done + 1 if done else 1), min(n, at + len(rows) + reach)
-            if lo >= hi:
-                break
-            outer = 0
-            for start in range(lo, hi, 4 * BLOCK):
-                other = np.arange(start, min(hi, start + 4 * BLOCK))
-                gap = other[None, :] - places[:, None]
-                hit = (rows @ unit[other].T >= threshold) & (gap > done) & (gap <= reach)
-                i, j = np.nonzero(hit)
-                outer += int((gap[i, j] > reach // 2).sum())
-                a.append(ids[places[i]])
-                b.append(ids[other[j]])
-            if not outer or at + len(rows) + reach >= n + len(rows):
-                break
-            done, reach = reach, 2 * reach
-    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
     return flat.reshape(len(column), -1)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` names each node's set by its smallest node; the sets of a[k] and b[k] become one."""
+    while True:
+        u, v = label[a], label[b]
+        apart = u != v
+        if not apart.any():
+            return label
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label != (further := label[label])).any():
+            label = further
+
+
 def classes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """All rows as (vec_id, class_id or null) and the classes as (class_id, size, vector).
 
@@ -90,64 +85,151 @@ def classes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return rows, classes
 
 
-def class_links(classes: DataFrame, threshold: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Distinct links (a, b), a < b, between classes, from all passes. Vectors of different lengths never link."""
-    found = None
-    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def keyed(seed: int):
-        types = pa.schema([("class_id", pa.int64()), ("dims", pa.int32()), ("key", pa.int64()), ("vector", pa.list_(pa.float64()))])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lengths = np.diff(batch.column(1).offsets.to_numpy())
-                for dims in np.unique(lengths):
-                    part = batch.filter(pa.array(lengths == dims))
-                    x = _matrix(part.column(1))
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-                    key = (keys(unit, seed) ^ np.uint64(1 << 63)).view(np.int64)  # signed order
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array(np.full(len(unit), dims, np.int32)), pa.array(key), pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, dims, dtype=np.int32)), pa.array(unit.ravel()))],
-                        schema=types,
-                    )
-
-        return run
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts, dims = [], [], None
-
-        def flush(keep: int):
-            nonlocal ids, parts
-            if not parts:
-                return None
-            i, x = np.concatenate(ids), np.concatenate(parts)
-            a, b = window_links(x, i, threshold, window)
-            ids, parts = ([i[-keep:]], [x[-keep:]]) if keep else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=pairs)
-
-        held = 0
+def _keyed(passes: int):
+    types = pa.schema([("class_id", pa.int64()), ("dims", pa.int32()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d in np.unique(of := batch.column(1).to_numpy()):  # sorted by dims first
-                part = batch.filter(pa.array(of == d))
-                if dims is not None and d != dims and (out := flush(0)) is not None:
-                    yield out
-                    held = 0
-                dims = d
-                ids.append(part.column(0).to_numpy())
-                parts.append(_matrix(part.column(3)))
-                held += part.num_rows
-                if held >= 16 * ROWS_PER_BATCH and (out := flush(4 * ROWS_PER_BATCH)) is not None:  # the rest stays in reach of what follows
-                    yield out
-                    held = 4 * ROWS_PER_BATCH
-        if (out := flush(0)) is not None:
-            yield out
-
-    for p in range(passes):
-        ordered = classes.select("class_id", "vector").mapInArrow(keyed(SEED + p), "class_id long, dims int, key long, vector array<double>").repartitionByRange("dims", "key", "class_id").sortWithinPartitions("dims", "key", "class_id")
-        one = ordered.mapInArrow(linked, "a long, b long")
+            lengths = np.diff(batch.column(1).offsets.to_numpy())
+            for dims in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == dims))
+                unit = _unit(_matrix(part.column(1)))
+                found = np.stack([(keys(unit, SEED + p) ^ np.uint64(1 << 63)).view(np.int64) for p in range(passes)], 1)  # signed order
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, passes, dtype=np.int32)), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(unit), dims, np.int32)), lists], schema=types)
+
+    return run
+
+
+def _placed(classes: DataFrame, passes: int, window: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """The classes with ``places``, their number in the global order of each pass, and the first and last block of each vector length.
+
+    Partitions are counted and a prefix sum over these few totals gives each its base, as in op9. Every
+    length starts a new tile.
+    """
+    keyed = classes.select("class_id", "vector").mapInArrow(_keyed(passes), "class_id long, dims int, keys array<long>")
+    narrow = keyed.select("class_id", "dims", F.posexplode("keys").alias("pass", "key"))
+    ranged = materialize(narrow.repartitionByRange("pass", "dims", "key", "class_id").withColumn("part", F.spark_partition_id()))
+    of = ["part", "pass", "dims"]
+    totals = materialize(ranged.groupBy(*of).agg(F.count("*").alias("n")))
+    blocks, first = {}, 0
+    for dims, n in sorted((r["dims"], r["n"]) for r in totals.where("pass = 0").groupBy("dims").agg(F.sum("n").alias("n")).collect()):
+        last = first + (n - 1) // window
+        blocks[dims] = (first, last)
+        first = (last // TILE + 1) * TILE
+    # One row per partition, pass and length: their number bounds this window and the broadcasts.
+    before = Window.partitionBy("pass", "dims").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = classes.sparkSession.createDataFrame([(d, f * window) for d, (f, _) in blocks.items()], "dims int, start long")
+    bases = totals.join(F.broadcast(starts), "dims").select(*of, (F.col("start") + F.coalesce(F.sum("n").over(before), F.lit(0)) - 1).alias("base"))
+    inside = F.row_number().over(Window.partitionBy(*of).orderBy("key", "class_id"))
+    numbered = ranged.withColumn("row", inside).join(F.broadcast(bases), of).select("class_id", "pass", (F.col("base") + F.col("row")).alias("place"))
+    places = numbered.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "place"))), lambda s: s["place"]).alias("places"))  # one per pass
+    # Single precision where it holds every component exactly; cosines are taken in double precision all the same.
+    exact = F.forall("vector", lambda x: x.cast("float").cast("double") == x)
+    vector = F.col("vector").cast("array<float>") if classes.where(~exact).isEmpty() else F.col("vector")
+    return materialize(classes.select("class_id", "size", vector.alias("vector")).join(places, "class_id")), blocks
+
+
+def _compared(blocks: dict[int, tuple[int, int]], done: np.ndarray, active: np.ndarray, at: int, threshold: float, window: int, pairs: bool):
+    """Compares the active blocks of tile ``i_tile`` in pass ``pass`` with those of tile ``j_tile`` that lie in the reach of round ``at``.
+
+    Rows (kind, x, y, z): 0, a class and the vectors linked to it; 1, a pair of linked classes (all, or a
+    spanning forest); 2, a pass, a block that goes on and the last block of its length. Every pair of
+    classes counts in the first comparison only that covers it, by rounds, then passes; where that was
+    follows from the places of both.
+    """
+    lo, hi = int(REACH[at]), int(REACH[at + 1])
+    after = np.where(active, at + 1, done)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        p, i_tile, j_tile = (group.column(c)[0].as_py() for c in ("pass", "i_tile", "j_tile"))
+        places = _matrix(group.column("places").chunk(0), np.int64)
+        order = np.argsort(places[:, p])
+        places = places[order]
+        unit = _unit(_matrix(group.column("vector").chunk(0))[order])
+        ids, sizes = (group.column(c).to_numpy()[order] for c in ("class_id", "size"))
+        mine, of = places[:, p], places // window
+        last = blocks[unit.shape[1]][1]
+        counts, label, found, further = np.zeros(len(ids), np.int64), np.arange(len(ids)), [], []
+        for i in np.unique(of[:, p]):
+            if i // TILE != i_tile or not active[p, i]:
+                continue
+            s, e = np.searchsorted(mine, (i * window, (i + 1) * window))
+            js, je = np.searchsorted(mine, (max(i + lo, j_tile * TILE) * window, min(i + hi, (j_tile + 1) * TILE) * window))
+            a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+            outer = False
+            for start in range(js, je, BLOCK):
+                u, v = np.nonzero(unit[s:e] @ unit[start : min(je, start + BLOCK)].T >= threshold)
+                u, v = u + s, v + start
+                gap = mine[v] - mine[u]
+                u, v = u[gap > 0], v[gap > 0]
+                outer |= bool((gap > (0 if at else window // 2)).any())
+                for q in range(len(done)):
+                    if q == p or (q > p and not at) or not len(u):
+                        continue
+                    m, n = of[u, q], of[v, q]
+                    new = np.abs(m - n) >= REACH[(after if q < p else done)[q, np.minimum(m, n)]]
+                    u, v = u[new], v[new]
+                a, b = np.concatenate([a, u]), np.concatenate([b, v])
+            if outer and i + hi <= last:
+                further.append(i)
+            if len(a):
+                np.add.at(counts, a, sizes[b])
+                np.add.at(counts, b, sizes[a])
+                if pairs:
+                    found.append((ids[a], ids[b]))
+                else:
+                    label = _unite(label, a, b)
+        if not pairs:
+            below = np.nonzero(label != np.arange(len(ids)))[0]
+            found.append((ids[below], ids[label[below]]))
+        x = [ids[counts > 0], *[f[0] for f in found], np.full(len(further), p)]
+        y = [counts[counts > 0], *[f[1] for f in found], np.array(further, np.int64)]
+        kind = np.repeat([0] + [1] * len(found) + [2], [len(c) for c in x])
+        return pa.table({"kind": pa.array(kind, pa.int32()), "x": pa.array(np.concatenate(x), pa.int64()), "y": pa.array(np.concatenate(y), pa.int64()), "z": pa.array(np.full(len(kind), last), pa.int64())})
+
+    return run
+
+
+def _rounds(classes: DataFrame, threshold: float, passes: int, window: int, pairs: bool) -> DataFrame | None:
+    """The rows of ``_compared`` of all rounds, null without classes.
+
+    Round 0 compares every block with itself and the next one; a block that found links in the outer half
+    of what it saw looks twice as far in the next round, over any number of tiles and partitions.
+    """
+    placed, blocks = _placed(classes, passes, window)
+    if not blocks:
+        return None
+    spark, found, at = classes.sparkSession, None, 0
+    done = np.zeros((passes, max(last for _, last in blocks.values()) + 1), np.uint8)
+    active = np.ones_like(done, bool)
+    ranges = spark.createDataFrame(list(blocks.values()), "first long, last long")
+    go = ranges.select(F.explode(F.sequence("first", "last")).alias("i"), "last").select(F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"), "i", "last")
+    while True:
+        lo, hi = int(REACH[at]), int(REACH[at + 1])
+        end = F.least(F.col("i") + hi - 1, "last")
+        tiles = go.select("pass", "i", end.alias("end"), F.expr(f"i div {TILE}").alias("i_tile"), F.explode(F.expr(f"sequence((i + {lo}) div {TILE}, least(i + {hi - 1}, last) div {TILE})")).alias("j_tile"))
+        others = tiles.select("pass", F.explode(F.expr(f"sequence(greatest(i + {lo}, j_tile * {TILE}), least(end, j_tile * {TILE} + {TILE - 1}))")).alias("block"), "i_tile", "j_tile")
+        needed = tiles.select("pass", F.col("i").alias("block"), "i_tile", "j_tile").unionByName(others).distinct()
+        each = placed.select("class_id", "size", "vector", "places", F.posexplode("places").alias("pass", "place")).withColumn("block", F.expr(f"place div {window}")).drop("place")
+        groups = each.join(needed, ["pass", "block"]).drop("block").groupBy("pass", "i_tile", "j_tile")
+        one = materialize(groups.applyInArrow(_compared(blocks, done, active, at, threshold, window, pairs), "kind int, x long, y long, z long"))
         found = one if found is None else found.unionByName(one)
-    return found.where("a < b").distinct()
+        go = one.where("kind = 2").select(F.col("x").cast("int").alias("pass"), F.col("y").alias("i"), F.col("z").alias("last")).distinct()
+        further = [(r["pass"], r["i"]) for r in go.select("pass", "i").collect()]  # one small row per block that goes on
+        if not further:
+            return found
+        done, active, at = np.where(active, at + 1, done).astype(np.uint8), np.zeros_like(active), at + 1
+        active[tuple(np.array(further).T)] = True
+
+
+def class_links(classes: DataFrame, threshold: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+    """Distinct links (a, b), a < b, between classes, from all passes. Vectors of different lengths never link."""
+    found = _rounds(classes, threshold, passes, window, pairs=True)
+    if found is None:
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    return found.where("kind = 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = COSINE, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -158,11 +240,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, passes: int =
     with a null component. Repeated ids count as vectors of their own. An empty table gives no rows.
     """
     rows, classes = classes_of(vectors, id_col, vector_col)
-    links = materialize(class_links(classes, threshold, passes, window))
-    sizes = classes.select("class_id", "size")
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    n_links = ends.join(sizes, ends.b == sizes.class_id).groupBy("a").agg(F.sum("size").alias("others"))
-    component = connected_components(links, "a", "b")
+    found = _rounds(classes, threshold, passes, window, pairs=False)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "kind int, x long, y long, z long")
+    n_links = found.where("kind = 0").groupBy(F.col("x").alias("a")).agg(F.sum("y").alias("others"))
+    component = connected_components(found.where("kind = 1"), "x", "y")
     of_class = (
         classes.select("vector", "class_id", "size")
         .join(n_links, F.col("class_id") == n_links.a, "left")

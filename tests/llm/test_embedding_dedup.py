@@ -75,3 +75,21 @@ def test_recall_over_given_vectors(spark):
     _, classes = embedding_dedup.classes_of(spark.createDataFrame([(r.vec_id, r.embedding) for r in rows], "vec_id long, embedding array<float>"))
     got = {(r.a, r.b) for r in embedding_dedup.class_links(classes).collect()}
     assert got <= true and len(got) >= 0.98 * len(true)
+
+
+def test_dense_group_over_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    rows = [(i, (centre + rng.standard_normal(64) * 0.15).tolist()) for i in range(800)] + [(5000 + i, rng.standard_normal(64).tolist()) for i in range(400)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, ("96", "false")):  # the group alone fills some 64 range partitions
+        spark.conf.set(k, v)
+    try:
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    n, _ = brute(rows)
+    assert sum(n.values()) > 0.99 * 800 * 799
+    assert 0.99 * sum(n.values()) <= sum(r.n_links for r in got.values()) <= sum(n.values())
+    assert all((got[i].component_id == 0) == (i < 800) for i, _ in rows)
