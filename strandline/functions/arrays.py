@@ -114,10 +114,11 @@ def top_two_margin(p: Column) -> Column:
     return F.when(F.size(p) == 0, 0.0).when(F.size(p) == 1, 1.0).otherwise(F.get(s, F.lit(0)) - F.get(s, F.lit(1)))
 
 
-def gated_call(p: Column, thresholds: list[float]) -> Column:
+def gated_call(p: Column, thresholds: list[float] | Column) -> Column:
     """Index of the last largest probability, or -1 if its lead over the next is under its threshold or there is none."""
     at = F.size(p) - F.array_position(F.reverse(p), F.array_max(p))
-    return F.when((F.size(p) > 0) & (top_two_margin(p) >= F.get(F.array(*map(F.lit, thresholds)), at.cast("int"))), at.cast("long")).otherwise(F.lit(-1).cast("long"))
+    limits = thresholds if isinstance(thresholds, Column) else F.array(*map(F.lit, thresholds))
+    return F.when((F.size(p) > 0) & (top_two_margin(p) >= F.get(limits, at.cast("int"))), at.cast("long")).otherwise(F.lit(-1).cast("long"))
 
 
 def interleave(values: Column, dwells: Column, weight: float) -> Column:

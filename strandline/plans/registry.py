@@ -594,3 +594,42 @@ def signal_windows(spark, sf):
 def gated_calls(spark, sf):
     p = _vectors(spark, sf).select("id", A.softmax(F.slice("x", 1, 8)).alias("p"))
     return p.select("id", A.gated_call(F.col("p"), [0.02] * 8).alias("call"))
+
+
+# --- whole arrays and tables: the queries of the same names without _whole read a part, which their SQL fixes ---
+
+
+@query(f"select id, round(median((b.v - a.v) / (b.p - a.p)), 6) as slope from {_CELLS} a join {_CELLS} b using (id) where a.p < b.p group by id")
+def theil_sen_slope_whole(spark, sf):
+    fit = K.column(lambda y: K.theil_sen(range(1, len(y) + 1), y), "struct<slope:double,intercept:double>")
+    return _rounded(_vectors(spark, sf).select("id", fit("x").alias("f")).select("id", "f.slope"))
+
+
+@query(f"select id, label, count(*) as votes from (select a.id, case when a.v > b.v then a.p else b.p end as label from {_CELLS} a join {_CELLS} b on a.id = b.id and a.p < b.p) group by id, label")
+def one_vs_one_votes_whole(spark, sf):
+    cells = _vectors(spark, sf).select("id", F.posexplode("x").alias("p", "v")).withColumn("p", (F.col("p") + 1).cast("long"))
+    other = cells.select("id", F.col("p").alias("j"), F.col("v").alias("w"))
+    pairs = cells.join(other, "id").where("p < j").select("id", F.col("p").alias("i"), "j", (F.col("v") - F.col("w")).alias("decision"))
+    return E.ovo_votes(pairs)
+
+
+@query(f"select id, case when m >= 0.02 then c else -1 end as call from (select id, max(q) - max(case when r = 2 then q end) as m, max(case when r = 1 then p end) - 1 as c from (select id, p, q, row_number() over (partition by id order by q desc, p desc) as r from (select id, p, exp(v) / sum(exp(v)) over (partition by id) as q from {_CELLS})) group by id)")
+def gated_calls_whole(spark, sf):
+    p = _vectors(spark, sf).select("id", A.softmax(F.col("x")).alias("p"))
+    return p.select("id", A.gated_call(F.col("p"), F.transform("p", lambda _: F.lit(0.02))).alias("call"))
+
+
+def _two_whole_inputs(spark, sf):
+    """All reads, and all reads with changed samples under ids moved by 7: some are new, some repeat."""
+    reads = relation(spark, sf, "reads").select("read_id", "num_samples", "source_file", "batch_idx", "row_idx")
+    return [reads, reads.withColumns({"read_id": F.col("read_id") + 7, "num_samples": -F.col("num_samples")})]
+
+
+@query("select read_id, num_samples from <reads> union all select read_id + 7 as read_id, -num_samples from <reads> where read_id + 7 not in (select read_id from <reads>)")
+def merge_first_wins_whole(spark, sf):
+    return R.merge(_two_whole_inputs(spark, sf)).select("read_id", "num_samples")
+
+
+@query("select read_id, num_samples from <reads> union all select read_id + 7 as read_id, -num_samples from <reads>")
+def merge_keep_duplicates_whole(spark, sf):
+    return R.merge(_two_whole_inputs(spark, sf), keep_duplicates=True).select("read_id", "num_samples")
