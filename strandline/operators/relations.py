@@ -174,12 +174,22 @@ def orientation(votes: DataFrame, least: int = 50) -> DataFrame:
     return counted.withColumn("decision", F.when(n < least, "too_few").when(share < 0.05, "forward").when(share > 0.95, "reversed").otherwise("mixed"))
 
 
-def running_offsets(reads: DataFrame, group: str, order: Sequence[str], size: str, out: str) -> DataFrame:
+def running_offsets(reads: DataFrame, group: str | Sequence[str], order: Sequence[str], size: str, out: str) -> DataFrame:
     """Exclusive running sum of ``size`` in ``order`` within each group."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return reads.withColumn(out, F.sum(size).over(w) - F.col(size))
 
 
+def batched_offsets(reads: DataFrame, group: str, batch: str, order: Sequence[str], size: str, out: str) -> DataFrame:
+    """``running_offsets`` in the order of ``batch``, then ``order``: prefix sums over the batches' totals, and a window inside each batch, so a large group is not one task."""
+    before = Window.partitionBy("_group").orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = reads.groupBy(F.col(group).alias("_group"), F.col(batch).alias("_batch")).agg(F.sum(size).alias("_total"))
+    bases = totals.select("_group", "_batch", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    inside = running_offsets(reads.withColumns({"_g": F.col(group), "_b": F.col(batch)}), ["_g", "_b"], order, size, out)
+    joined = inside.join(bases, F.col("_g").eqNullSafe(F.col("_group")) & F.col("_b").eqNullSafe(F.col("_batch")))
+    return joined.withColumn(out, F.col(out) + F.col("_base")).drop("_g", "_b", "_group", "_batch", "_base")
+
+
 def chunks_for_prefix(signal: DataFrame, n: int) -> DataFrame:
     """The chunks that the first ``n`` samples of each read need, with how many samples to take of each."""
     before = running_offsets(signal, "read_id", ["chunk_idx"], "samples", "before")

@@ -206,7 +206,7 @@ def orientation_vote(spark, sf):
 
 @query("select read_id, start_sample, num_samples, cast(sum(num_samples) over (partition by source_file order by batch_idx, row_idx rows unbounded preceding) - num_samples as bigint) as first_row from <reads>")
 def signal_row_offsets(spark, sf):
-    return R.running_offsets(relation(spark, sf, "reads"), "source_file", ["batch_idx", "row_idx"], "num_samples", "first_row").select("read_id", "start_sample", "num_samples", "first_row")
+    return R.batched_offsets(relation(spark, sf, "reads"), "source_file", "batch_idx", ["row_idx"], "num_samples", "first_row").select("read_id", "start_sample", "num_samples", "first_row")
 
 
 @query("select read_id, chunk_idx, cast(least(samples, 60 - before) as bigint) as take from (select *, sum(samples) over (partition by read_id order by chunk_idx rows unbounded preceding) - samples as before from <signal>) where before < 60")
