@@ -118,3 +118,47 @@ def test_components(spark):
     nodes = sorted({x for p in pairs for x in p})
     assert got == plain_components(nodes, lambda a, b: (a, b) in pairs)
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_repeated_ids_and_rows(spark):
+    rows = varied(5)[:60]
+    rows += [(rows[0][0], rows[9][1]), rows[3], rows[3], (rows[1][0], None), (rows[1][0], "")]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    linked = plain_components(sorted(set(fps)), lambda a, b: bin(a ^ b).count("1") <= 4)
+    least = {}
+    for (i, _), f in zip(rows, fps):
+        least[linked[f]] = min(i, least.get(linked[f], i))
+    want = sorted((i, f, least[linked[f]]) for (i, _), f in zip(rows, fps))
+    got = sorted((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(helpers.docs(spark, rows)).collect())
+    assert got == want
+    kept = simhash.keep_one(helpers.docs(spark, rows)).collect()
+    named = {i for i, _, c in want if i == c}
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted({(i, t or "") for i, t in rows if i in named})
+
+
+def test_most_points_pass_through_a_tree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 0")
+    fps = np.unique(np.array([plain_fingerprint(r.text) for r in docs.select("text").limit(1500).collect()], np.uint64))
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.concatenate([fps, rng.integers(0, 2**64, 3000, dtype=np.uint64)]))
+    points = spark.createDataFrame([(int(p),) for p in fps.view(np.int64)], "fp long")
+    vantage = simhash.vantage_points(points, len(fps))
+    d = np.bitwise_count(fps[:, None] ^ vantage[None, :])
+    there = d <= d.min(1)[:, None] + simhash.RADIUS
+    homes = np.bincount(d.argmin(1), minlength=len(vantage))
+    through = there[:, homes * there.sum(0) > simhash.LEAF**2].any(1)  # in a shard that a tree cuts
+    assert through.mean() > 0.5 and there.sum(1).mean() < 0.2 * len(vantage)
+    assert all(there[np.arange(len(fps)), d.argmin(1)])
+
+
+def test_split_shards(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    points = np.unique(np.concatenate([rng.integers(0, 2**64, 400, dtype=np.uint64), np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))]))
+    monkeypatch.setattr(simhash, "VISITORS", 16)
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    got = {r.node: r.component for r in connected_components(simhash.near_fingerprints(df), "a", "b").collect()}
+    want = brute(points)
+    signed = points.view(np.int64).tolist()
+    for i in range(0, len(points), 3):
+        for j in range(i):
+            assert (want[i] == want[j]) == (got.get(signed[i], signed[i]) == got.get(signed[j], signed[j]))
