@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm.common import materialize, table
+from strandline.llm.common import join_hot, materialize, table
 from strandline.llm.components import connected_components
 
 COSINE = 0.95
@@ -70,10 +70,11 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def classes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """All rows as (vec_id, class_id or null) and the classes as (class_id, size, vector).
+    """All rows as (vec_id, vector or null) and the classes as (vector, first, size, class_id).
 
-    A class holds the vectors alike in every component and is named by the smallest id. Vectors that
-    are null, empty, zero, or hold a null or non-finite component have no class; neither have rows without an id.
+    A class holds the vectors alike in every component; ``first`` is its smallest id and ``class_id`` a
+    number of its own, since a repeated id may be the first of several classes. Vectors that are null,
+    empty, zero, or hold a null or non-finite component have no class; neither have rows without an id.
     """
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -81,7 +82,8 @@ def classes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     usable = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0.0)
     # Adding 0.0 makes -0.0 equal to 0.0.
     rows = materialize(rows.withColumn("vector", F.when(usable, F.transform(v, lambda x: x + 0.0))))
-    classes = materialize(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"), F.count_distinct("vec_id").alias("ids")))
+    classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
+    classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()))  # written once, so it holds
     return rows, classes
 
 
@@ -225,11 +227,16 @@ def _rounds(classes: DataFrame, threshold: float, passes: int, window: int, pair
 
 
 def class_links(classes: DataFrame, threshold: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Distinct links (a, b), a < b, between classes, from all passes. Vectors of different lengths never link."""
+    """Distinct links (a, b) between classes, each named by its smallest id, a <= b, from all passes.
+
+    Vectors of different lengths never link.
+    """
     found = _rounds(classes, threshold, passes, window, pairs=True)
     if found is None:
         return classes.sparkSession.createDataFrame([], "a long, b long")
-    return found.where("kind = 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    first = classes.select("class_id", "first")
+    named = found.where("kind = 1").join(first.toDF("x", "p"), "x").join(first.toDF("y", "q"), "y")
+    return named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = COSINE, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -245,15 +252,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, passes: int =
         found = vectors.sparkSession.createDataFrame([], "kind int, x long, y long, z long")
     n_links = found.where("kind = 0").groupBy(F.col("x").alias("a")).agg(F.sum("y").alias("others"))
     component = connected_components(found.where("kind = 1"), "x", "y")
-    of_class = (
-        classes.select("vector", "class_id", "size")
-        .join(n_links, F.col("class_id") == n_links.a, "left")
+    of_class = materialize(
+        classes.join(n_links, F.col("class_id") == n_links.a, "left")
         .join(component, F.col("class_id") == component.node, "left")
-        .select("vector", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    )
-    joined = rows.join(of_class, "vector", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+        .select("vector", "first", "size", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("group"))
     )
+    least = of_class.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    total = rows.count()
+    named = join_hot(of_class, least, "group", "members", total).select("vector", "size", "n_links", "component_id")
+    joined = join_hot(rows.where("vector is not null"), named, "vector", "size", total).select("vec_id", "n_links", "component_id")
+    joined = joined.unionByName(rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return joined.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -65,18 +65,41 @@ def test_equals_all_pairs(spark, clash):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_over_given_vectors(spark):
-    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 4000").collect()
-    x = np.array([r.embedding for r in rows], float)
+@pytest.fixture(params=[4, 64, 211])
+def partitions(spark, request):
+    """So many shuffle partitions, none of them merged."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, (str(request.param), "false")):
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+def test_recall_of_links_over_partitions(spark, partitions):
+    rows = [(i, v) for i, v in groups(partitions) if len(v) == 32]
+    x = np.array([np.array(v, np.float32).astype(float) for _, v in rows])
     x /= np.sqrt((x * x).sum(1, keepdims=True))
-    ids = np.array([r.vec_id for r in rows])
-    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
-    true = {(int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))) for a, b in zip(i, j)}
-    _, classes = embedding_dedup.classes_of(spark.createDataFrame([(r.vec_id, r.embedding) for r in rows], "vec_id long, embedding array<float>"))
+    first = {}
+    for i, v in rows:
+        first.setdefault(tuple(np.array(v, np.float32)), i)
+    ids = [first[tuple(np.array(v, np.float32))] for _, v in rows]
+    near = zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))
+    true = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in near if ids[a] != ids[b]}
+    _, classes = embedding_dedup.classes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = {(r.a, r.b) for r in embedding_dedup.class_links(classes).collect()}
     assert got <= true and len(got) >= 0.98 * len(true)
 
 
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.standard_normal(32), rng.standard_normal(32)
+    near = lambda c: (c + rng.standard_normal(32) * 0.01).tolist()
+    rows = [(5, near(a)), (6, near(a)), (5, near(b)), (7, near(b)), (8, near(b)), (9, [1.0] * 32), (9, [1.0] * 32)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)).collect())
+    assert got == [(5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 2, 5), (8, 2, 5), (9, 1, 9), (9, 1, 9)]
+
+
 def test_dense_group_over_many_partitions(spark):
     rng = np.random.default_rng(5)
     centre = rng.standard_normal(64)
