@@ -108,11 +108,20 @@ def remap_run_info(reads: DataFrame, run_infos: DataFrame, compatible: bool = Fa
     return found.withColumn("new_index", F.coalesce("new_index", F.lit(0))) if compatible else found
 
 
-def route(reads: DataFrame, mapping: DataFrame, value: str, unclassified: str | None = None) -> DataFrame:
-    """Reads with their group. Unmapped reads are dropped, or go to ``unclassified``, as do empty values. Write with ``partitionBy``."""
+def one_per_id(mapping: DataFrame, value: str, order: Sequence[Column | str] = ()) -> DataFrame:
+    """(read_id, value) with one row per id: of repeated ids the last in ``order`` wins, or the largest value where no order is given."""
+    return last_wins(mapping, "read_id", value, [*order, value])
+
+
+def route(reads: DataFrame, mapping: DataFrame, value: str, unclassified: str | None = None, order: Sequence[Column | str] = ()) -> DataFrame:
+    """Reads with their group. Unmapped reads are dropped, or go to ``unclassified``, as do empty values. Write with ``partitionBy``.
+
+    A read has one group: of repeated ids in the mapping the last in ``order`` wins.
+    """
+    mapping = one_per_id(mapping, value, order)
     if unclassified is None:
-        return reads.join(mapping.where(F.col(value) != "").select("read_id", value), "read_id")
-    found = reads.join(mapping.select("read_id", value), "read_id", "left")
+        return reads.join(mapping.where(F.col(value) != ""), "read_id")
+    found = reads.join(mapping, "read_id", "left")
     return found.withColumn(value, F.coalesce(F.nullif(F.col(value), F.lit("")), F.lit(unclassified)))
 
 
@@ -121,18 +130,25 @@ def last_wins(mapping: DataFrame, key: str, value: str, order: Sequence[Column |
     return mapping.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def annotate(reads: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Reads with one more nullable column; ids that no read has are ignored, empty labels are no labels."""
-    return reads.drop(column).join(labels.select("read_id", F.nullif(F.col(column), F.lit("")).alias(column)), "read_id", "left")
+def annotate(reads: DataFrame, labels: DataFrame, column: str, order: Sequence[Column | str] = ()) -> DataFrame:
+    """Reads with one more nullable column; ids that no read has are ignored, empty labels are no labels.
+
+    Reads are not multiplied: of repeated ids in ``labels`` the last in ``order`` wins.
+    """
+    own = one_per_id(labels, column, order)
+    return reads.drop(column).join(own.select("read_id", F.nullif(F.col(column), F.lit("")).alias(column)), "read_id", "left")
 
 
 def derive_design(reads: DataFrame, design: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Value columns of a design table by exact match of all keys; no match, a missing key or an empty cell gives null.
 
-    Two rows of the design with the same keys are an error found by ``check_design``.
+    Two rows of the design with the same keys are an error, raised when the join runs; ``check_design``
+    finds them before.
     """
     values = [c for c in design.columns if c not in keys]
-    return reads.drop(*values).join(design.select(*keys, *[F.nullif(F.col(v), F.lit("")).alias(v) for v in values]), list(keys), "left")
+    one = design.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(F.nullif(F.col(v), F.lit(""))).alias(v) for v in values])
+    checked = one.select(*keys, *[F.when(F.col("_n") == 1, F.col(v)).otherwise(F.raise_error(F.lit("the design has two rows with the same keys")).cast(one.schema[v].dataType)).alias(v) for v in values])
+    return reads.drop(*values).join(checked, list(keys), "left")
 
 
 def check_design(design: DataFrame, keys: Sequence[str]) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
 from strandline.functions import sequences as S
+from strandline.operators import demux as D
 from strandline.operators import evaluation as E
 from strandline.operators import kernels as K
 from strandline.operators import refinement as N
@@ -493,7 +494,7 @@ def fingerprints(spark, sf):
 
 @query()
 def adapter_bounds(spark, sf):
-    found = _vectors(spark, sf).select("id", K.column(lambda x: K.adapter_bounds(x, 8, 3), "struct<start:bigint,end:bigint>")("x").alias("b"))
+    found = _vectors(spark, sf).select("id", D.adapter(F.col("x"), 8, 3).alias("b"))
     return found.select("id", "b.start", "b.end")
 
 
@@ -509,7 +510,7 @@ def _bank(spark, sf, per_label: int = 3):
 def dtw_nearest(spark, sf):
     bank, labels = _bank(spark, sf)
     kind = "struct<label:int,distance:double,second:double,ratio:double,confident:boolean>"
-    return _vectors(spark, sf).select("id", K.column(lambda x: K.nearest(K.dtw_many(x, bank, 8, 0.1), labels), kind)("x").alias("c")).select("id", "c.*")
+    return _vectors(spark, sf).select("id", K.batched(lambda rows: K.nearest_of(rows, bank, labels, 8, 0.1), kind)("x").alias("c")).select("id", "c.*")
 
 
 @query()
@@ -520,12 +521,13 @@ def kernel_classify(spark, sf):
     names = sorted(set(labels))
     index = np.array([names.index(x) for x in labels])
 
-    def classify(x):
-        means = K.class_means_of_kernel(K.dtw_many(x, bank, 8, 0.0), index, 0.5, len(names)) + 1e-9
+    def classify(distances):
+        means = K.class_means_of_kernel(distances, index, 0.5, len(names)) + 1e-9
         p = K.couple(means[:, None] / (means[:, None] + means[None, :]))
         return {"label": names[int(p.argmax())], "probability": float(p.max())}
 
-    return _vectors(spark, sf).select("id", K.column(classify, "struct<label:int,probability:double>")("x").alias("c")).select("id", "c.*")
+    calls = K.batched(lambda rows: [classify(d) for d in K.dtw_rows(rows, bank, 8, 0.0)], "struct<label:int,probability:double>")
+    return _vectors(spark, sf).select("id", calls("x").alias("c")).select("id", "c.*")
 
 
 @query()

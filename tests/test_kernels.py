@@ -55,7 +55,7 @@ def test_likelihood_split():
     at, gain = K.likelihood_split(x, 0, 70, 5, 5)
     want = max(((70 * np.log(x.var()) - i * np.log(x[:i].var()) - (70 - i) * np.log(x[i:].var())), -i) for i in range(5, 65))
     assert gain == pytest.approx(want[0]) and at == -want[1]
-    assert K.likelihood_split(np.ones(20), 0, 20, 2, 2) is None and K.adapter_bounds([1.0] * 30, 5, 2) == {"start": 0, "end": 0}
+    assert K.likelihood_split(np.ones(20), 0, 20, 2, 2) is None and K.adapter_parts([np.ones(30)], 5, 2) == [None]
 
 
 def test_banded_path_is_least_cost():
