@@ -10,11 +10,13 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,14 @@ MAX_LENGTH = 4096
 END_ID = 2
 #: Bounds of the cache of words in a Python worker: entries, and characters of a word.
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
-SLICE_ROWS = 256
+#: Rows encoded together; more of them share more words.
+SLICE_ROWS = 2048
 #: White space for ``str.split`` but not for the vocabulary's own pattern.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Lower-case Latin letters, whose case and composed form need no context, then punctuation; else two empty groups.
+#: Bytes as the letters that a byte-level vocabulary spells them with: printable ones as they are, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = dict(zip(sorted(set(range(256)) - set(_PRINTABLE)), range(256, 512)))
 _LATIN = re.compile(r"^(?:([a-z\u00df-\u00f6\u00f8-\u024f]{1,40})([.,;:!?#*$%&|]{0,8})|.*)$", re.MULTILINE)
 
 
@@ -36,9 +42,9 @@ class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never merges across it, so texts are encoded word by word
-    and frequent words are looked up. New words that are Latin letters and then punctuation have
-    their letters encoded together in one call, since such a run ends where a token with a word end
-    does. Texts with separators that only Python calls white space are encoded whole.
+    and frequent words are looked up; each different word of a batch is looked up once. New words
+    that are Latin letters and then punctuation are two pre-tokens, and the letters go straight to
+    the merges. Texts with separators that only Python calls white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -48,31 +54,23 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+        self.merges = self.tokenizer.model.tokenize
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs of letters."""
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(runs) or (len(stops) and stops[-1] != len(ids)):
-            return self._encode(runs)
-        flat, stops = ids.tobytes(), (4 * stops).tolist()
-        return [flat[a:b] for a, b in zip([0, *stops], stops)]
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of letters, which is one pre-token: straight from the merges."""
+        spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.merges(spelled)]).tobytes()
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of the words ``new``; short ones are kept."""
         known, letters, rare = self.known, self.letters, {}
         parts = _LATIN.findall("\n".join(new).lower())
         wanted = {run for run, _ in parts} - letters.keys() - {""}
-        if wanted:
-            wanted = list(wanted)
-            letters.update(zip(wanted, self._runs(wanted)))
+        letters.update(zip(wanted, map(self._run, wanted)))
         marks = {mark for _, mark in parts} - letters.keys() - {""}
         if marks:
             marks = list(marks)
@@ -85,24 +83,28 @@ class WordEncoder:
         return rare
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         if len(self.letters) > CACHE_WORDS:
             self.letters.clear()
-        known, new = self.known, set()
-        for words in split:
-            if words:
-                new |= set(words).difference(known)
-        rare = self._learn(list(new)) if new else {}
-        out = []
-        for t, words in zip(texts, split):
-            if words is None:
-                out.append(self._encode([t])[0])
-            elif rare:
-                out.append(b"".join([known[w] if w in known else rare[w] for w in words]))
-            else:
-                out.append(b"".join(map(known.__getitem__, words)))
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in _SEPARATORS)]
+        split = pc.utf8_split_whitespace(pa.array(["" if i in odd else t for i, t in enumerate(texts)] if odd else texts, pa.string()))
+        found = split.flatten().dictionary_encode()
+        words, at = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        known = self.known
+        new = [w for w in words if w not in known]
+        rare = self._learn(new) if new else {}
+        own = [known[w] if w in known else rare[w] for w in words] if rare else list(map(known.__getitem__, words))
+        # Each different word once, then a gather for all words.
+        flat = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        ids = flat[np.repeat(starts[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        for i in odd:
+            out[i] = self._encode([texts[i]])[0]
         return out
 
 
@@ -166,6 +168,16 @@ def pack_powers_of_two(
     )
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write sequences with one folder per bucket, so a training step reads equal lengths only; no shuffle, existing data is an error."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
+def bucket_totals(packed: DataFrame) -> DataFrame:
+    """bucket, length, n_sequences and n_tokens of each bucket that occurs; an empty table gives no rows."""
+    return packed.groupBy("bucket").agg(F.max("length").alias("length"), F.count("*").alias("n_sequences"), F.sum("length").alias("n_tokens"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_powers_of_two(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"

@@ -145,3 +145,23 @@ def test_token_counts(spark, make):
     for r in token_counts.quantiles(histogram, [0.25, 0.5, 1.0]).collect():
         assert r.n_tokens == next(x for i, x in enumerate(ordered, 1) if i >= r.p * len(ordered))
     assert token_counts.length_histogram(counted.limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAbßÀéİıſΣςσ'´stdeg 0 9.,!?\t\n\x1c\x85\u0301\u3000日本😀ﬁŉ"), max_size=40), min_size=1, max_size=6))
+def test_word_encoder_equals_the_library(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.word_encoder(path)(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == packing.word_encoder(path).tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_buckets(spark, tmp_path):
+    rows = [(1, "some words here and there " * 40), (2, "x"), (3, None), (None, "")]
+    packed = packing.pack_powers_of_two(helpers.docs(spark, rows), max_length=64)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    read = spark.read.parquet(str(tmp_path / "b"))
+    assert read.count() == packed.count() and all(r.length == 2**r.bucket for r in read.collect())
+    assert {r.bucket: (r.length, r.n_tokens) for r in packing.bucket_totals(packed).collect()}[0][0] == 1
+    empty = packing.pack_powers_of_two(helpers.docs(spark, rows).limit(0))
+    assert empty.count() == 0 and packing.bucket_totals(empty).count() == 0
