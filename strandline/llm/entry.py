@@ -17,4 +17,4 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_substring_dedup": substring_dedup.SQL}

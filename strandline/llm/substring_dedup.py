@@ -13,9 +13,11 @@ interval of each suffix, cut back to 50 words after every step (matching statist
 threshold), and the interval's smallest document. Runs of windows go back to all documents that
 hold the region.
 
-Anchors inside a passage that many documents share would gather all those documents' borders in one
-shard. So an anchor with too many different regions is marked hot and taken only by windows that
-have no other; the bound grows with the corpus, which bounds the list that is broadcast.
+Inside a passage that many documents share, an anchor would gather all the different windows at the
+passage's borders in one shard. So short runs that occur in many documents are hot, and a window
+takes a hot one only if it has no other. A window that reaches over the border has a run that ends in
+the document's own words, so the windows left to hot anchors lie within the passage, and equal
+regions are sent once.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import documents, materialize, table
+from strandline.llm.common import discard, documents, materialize, table
 
 WINDOW = 50
 #: Words of a run that may anchor a window.
 RUN = 8
-#: An anchor is hot above this many different regions, or this share of all, whichever is more, as estimated from one document in HOT_SAMPLE.
-HOT_REGIONS, HOT_SHARE, HOT_ROUNDS, HOT_SAMPLE = 2000, 1 / 20000, 3, 16
+#: A run is hot if it occurs in more documents than this, or than this share of all runs counted, as
+#: estimated from one document in HOT_SAMPLE. The share bounds the list that every task gets.
+HOT_DOCUMENTS, HOT_SHARE, HOT_SAMPLE = 256, 1e-6, 32
 #: Words of one index; a shard's anchors are indexed in groups of about so many.
 INDEX_WORDS = 400_000
 SLICE_ROWS = 128
@@ -76,16 +79,23 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def run_hashes(data: bytes, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text and of its runs; both empty for a text without a window."""
+    starts, ends = word_bounds(data)
+    if len(starts) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    words = _span_hashes(np.frombuffer(data, np.uint8).astype(np.uint64), starts, ends, _WORD_BASE)
+    at = np.arange(len(words) - run + 1)
+    return words, _span_hashes(words, at, at + run, _RUN_BASE)
+
+
 def regions(data: bytes, hot: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, ...]:
     """Anchor, content hash, first window and number of windows of each region of a text."""
-    starts, ends = word_bounds(data)
-    n = len(starts) - window + 1
+    words, runs = run_hashes(data, window, run)
+    n = len(words) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    words = _span_hashes(np.frombuffer(data, np.uint8).astype(np.uint64), starts, ends, _WORD_BASE)
-    at = np.arange(len(words) - run + 1)
-    runs = _span_hashes(words, at, at + run, _RUN_BASE)
     order = runs >> np.uint64(1)
     if len(hot):
         place = np.minimum(np.searchsorted(hot, runs), len(hot) - 1)
@@ -268,36 +278,42 @@ def _distinct(found: DataFrame) -> DataFrame:
     return found.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "key", "start")).alias("owner"), F.max("doc_id").alias("most"), F.first("n").alias("n"))
 
 
-def _hot_anchors(docs: DataFrame) -> list[int]:
-    """Anchors with too many different regions, estimated from every HOT_SAMPLE-th document by a hash of its key.
+def _counted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different runs of a slice of documents, and in how many of them they occur."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            each = [np.unique(run_hashes((t or "").encode())[1]) for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist()]
+            runs, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(n)], names=["run", "n"])
+
 
-    They only choose the shard of a window, so the estimate can't change a result. Their number is
-    bounded by 1 / HOT_SHARE a round.
+def _hot_runs(docs: DataFrame) -> list[int]:
+    """Runs that occur in many documents, estimated from every HOT_SAMPLE-th document by a hash of its key.
+
+    They only choose the shard of a window, so the estimate can't change a result. There are at most
+    1 / HOT_SHARE of them.
     """
-    sample = materialize(docs.where((F.col("__key") % HOT_SAMPLE == 0) & F.col("__id").isNotNull()))
-    hot: list[int] = []
-    for _ in range(HOT_ROUNDS):
-        distinct = materialize(_regions(sample, hot).select("anchor", "content").distinct())
-        limit = max(HOT_REGIONS / HOT_SAMPLE, distinct.count() * HOT_SHARE)
-        new = [r.anchor for r in distinct.groupBy("anchor").count().where(F.col("count") > limit).select("anchor").collect() if r.anchor not in hot]
-        if not new:
-            break
-        hot += new
-    return hot
+    sample = docs.where((F.col("__key") % HOT_SAMPLE == 0) & F.col("__id").isNotNull()).select("__text")
+    counted = materialize(sample.mapInArrow(_counted_runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where((F.col("n") > HOT_DOCUMENTS / HOT_SAMPLE) & (F.col("n") > total * HOT_SHARE)).select("run").toArrow()
+    discard(counted)
+    return hot.column(0).to_pylist()
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
-    """For keyed documents (__id, __text, __key): key and ``spans``, the word ranges that repeat, for each key that has any."""
-    found = _regions(docs, _hot_anchors(docs))
+    """For keyed documents (__id, __text, __key): key, doc_id and ``spans``, the word ranges that repeat, for each that has any."""
+    found = _regions(docs, _hot_runs(docs))
     distinct = materialize(_distinct(found).select("*", F.col("owner.doc_id").alias("least")))
     of_anchor = distinct.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     shared = of_anchor.where("least < most").select("anchor")
     wanted = distinct.join(shared, "anchor", "left_semi").select("anchor", "content", F.col("owner.doc_id").alias("doc_id"), F.col("owner.key").alias("key"), F.col("owner.start").alias("start"), "n", "most")
     by_key = wanted.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "content", "start", "n", "most")).alias("wanted"))
-    cut = docs.join(by_key, docs["__key"] == by_key.key).select("__text", "wanted", "doc_id").mapInArrow(_cut, "anchor long, content long, doc_id long, most long, words binary")
+    cut = docs.join(by_key, (docs["__key"] == by_key.key) & (docs["__id"] == by_key.doc_id)).select("__text", "wanted", "doc_id").mapInArrow(_cut, "anchor long, content long, doc_id long, most long, words binary")
     runs = materialize(cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "anchor long, content long, a int, b int, least long").distinct())
+    discard(distinct)
     hits = found.join(runs, ["anchor", "content"]).where("least < doc_id")
-    return hits.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    return hits.groupBy("key", "doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
 
 
 def _without(data: bytes, spans: list[dict] | None) -> tuple[int, int, bytes | None]:
@@ -334,7 +350,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = [r[2] for r in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(kept, pa.string())], schema=types)
 
-    return own.join(spans, own["__key"] == spans.key, "left").select("__id", "__text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return own.join(spans, (own["__key"] == spans.key) & (own["__id"] == spans.doc_id), "left").select("__id", "__text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,9 +372,22 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return own.join(spans, own["__key"] == spans.key, "left").select(*names, "spans").mapInArrow(run, docs.schema)
+    found = spans.select(F.col("key").alias("__of"), F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
+    joined = own.join(found, (F.col("__key") == F.col("__of")) & (F.col("__id") == F.col("__doc")), "left")
+    return joined.select(*names, "__spans").mapInArrow(run, docs.schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The same rows by windows spelled out; a word has no space in it.
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+repeated as (select doc_id, i from windows join (select k, min(doc_id) as least from windows group by k) using (k) where doc_id > least),
+covered as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) as p from repeated)),
+kept as (select doc_id, string_agg(v, ' ' order by p) as text from (select doc_id, unnest(w) as v, unnest(range(1, len(w) + 1)) as p from d) anti join covered using (doc_id, p) group by doc_id),
+removed as (select doc_id, count(*) as n from covered group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from d left join removed using (doc_id) left join kept using (doc_id)"""

@@ -60,14 +60,14 @@ def test_equals_all_windows(spark, make):
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(sd, "HOT_REGIONS", 5)
+def test_hot_runs(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT_DOCUMENTS", 5)
     monkeypatch.setattr(sd, "HOT_SAMPLE", 1)
     rng = random.Random(6)
     passage = [f"p{rng.randrange(30)}" for _ in range(90)]
     rows = [(i, " ".join([f"u{rng.randrange(900)}" for _ in range(30)] + passage + [f"v{rng.randrange(900)}" for _ in range(30)])) for i in range(60)]
     own = sd._keyed(helpers.docs(spark, rows).selectExpr("doc_id as __id", "text as __text"))
-    assert sd._hot_anchors(own)
+    assert sd._hot_runs(own)
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in sd.remove_repeats(helpers.docs(spark, rows)).collect())
     assert got == plain(rows)
 
