@@ -59,3 +59,18 @@ def test_run_equals_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"]
     assert got.count() > 0 and pii.KINDS[0] == "email"
+
+
+def test_stages_take_awkward_rows(spark):
+    """Nulls, empty texts, repeated rows, a very long text, an empty table and columns with clashing names go through every stage."""
+    from . import helpers
+
+    docs = materialize(helpers.clashing(spark, helpers.awkward(n=12)).withColumnRenamed("word", "key").withColumnRenamed("part", "spans"))
+    empty = materialize(docs.limit(0))
+    for _, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs, empty = materialize(stage(spark, docs, SF)), materialize(stage(spark, empty, SF))
+        assert empty.count() == 0 and docs.count() > 0
+        if stage is not corpus_pipeline.pack:
+            assert docs.columns == empty.columns == columns
+    assert {r.doc_tokens for r in docs.where("doc_id = 0").collect()} <= {1}

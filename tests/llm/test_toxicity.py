@@ -61,3 +61,37 @@ def test_no_labels(spark):
     model = toxicity.train(docs, labels)
     assert [r.score for r in toxicity.score(docs, model).collect()] == [0.0, 0.0]
     assert toxicity.drop_toxic(docs, model).count() == 2
+
+
+def test_scores_equal_plain_python(spark, model):
+    """Words, windows, compressed lengths and the calibration recomputed without Spark, ties at the threshold included."""
+    import math
+
+    import zstandard
+
+    params = zstandard.ZstdCompressionParameters(
+        window_log=12, hash_log=10, chain_log=10, search_log=4, min_match=5, target_length=1,
+        strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_dict_id=False, write_checksum=False,
+    )
+    made = []
+    for content in (model.toxic, model.ordinary):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
+
+    def plain(text):
+        words = (text or "").split()
+        saved = 0
+        for at in range(0, len(words), 8):
+            window = b"".join(toxicity.code(toxicity.stem(w)) for w in words[at : at + 8])
+            saved += max(0, len(made[1].compress(window)) - len(made[0].compress(window)))
+        hits, w = saved / 8, model.weights
+        return 1 / (1 + math.exp(-(w[0] + w[1] * math.log1p(hits) + w[2] * math.log1p(100 * hits / max(len(words), 1)) + w[3] * math.log1p(len(words)) / 5)))
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in docs] + [(i, t) for i, t in helpers.awkward() if i is not None]
+    want = sorted((i, round(plain(t), 9)) for i, t in rows)
+    got = toxicity.score(helpers.docs(spark, rows), model).collect()
+    assert sorted((r.doc_id, round(r.score, 9)) for r in got) == want
+    tie = got[0].score
+    assert all(r.predicted == int(r.score >= tie) for r in toxicity.score(helpers.docs(spark, rows), model, threshold=tie).collect())
