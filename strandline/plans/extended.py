@@ -124,9 +124,9 @@ def junction_features(spark, sf):
     return _exploded(_vectors(spark, sf).select("id", P.junction_features(F.col("x"), spans, expected).alias("y")))
 
 
-@query("select id, i, round(least(case when v < 50 then 0.5 * pow((v - 50) / 50, 2) else 0.5 * ln(v / 50) end, 0.3), 6) as cost from <samples>")
+@query("select id, i, round(least(case when v < 50 then 0.5 * pow((v - 50) / 50, 2) else 0.5 * ln(v / 50) end, 0.3), 9) as cost from <samples>")
 def dwell_penalties(spark, sf):
-    return _rounded(relation(spark, sf, "samples").select("id", "i", P.dwell_penalty(F.col("v"), 50.0, 0.5, 0.3).alias("cost")))
+    return _rounded(relation(spark, sf, "samples").select("id", "i", P.dwell_penalty(F.col("v"), 50.0, 0.5, 0.3).alias("cost")), 9)
 
 
 @query(f"select id, p, round(1 / (1 + exp(v * -1.7 + 0.2)), 6) as y from {_CELLS}")
