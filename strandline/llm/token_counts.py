@@ -8,11 +8,12 @@ longer, and any quantile, without going back to the documents.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,25 +95,34 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     )
 
 
+def _asked(histogram: DataFrame, name: str, asked: list, kind: str, answer: str, found: Callable[[Any], Column]) -> DataFrame:
+    """One row per different value asked for, from one pass over the histogram; none for an empty histogram."""
+    asked = list(dict.fromkeys(asked))
+    if not asked:
+        return histogram.select(F.lit(None).cast(kind).alias(name), F.col("n_tokens").alias(answer)).limit(0)
+    once = histogram.agg(F.count("*").alias("rows"), *[found(v).alias(f"a{i}") for i, v in enumerate(asked)]).where("rows > 0")
+    pairs = F.array(*[F.struct(F.lit(v).cast(kind).alias(name), F.col(f"a{i}").alias(answer)) for i, v in enumerate(asked)])
+    return once.select(F.inline(pairs))
+
+
 def quantiles(histogram: DataFrame, probabilities: list[float]) -> DataFrame:
-    """For each probability p the least length that at least the share p of documents do not exceed."""
-    asked = F.explode(F.array(*map(F.lit, probabilities))).alias("p")
-    return (
-        histogram.select("n_tokens", "n_docs_at_most", "total_docs", asked)
-        .where(F.col("n_docs_at_most") >= F.col("p") * F.col("total_docs"))
-        .groupBy("p")
-        .agg(F.min("n_tokens").alias("n_tokens"))
-    )
+    """For each probability p the least length that at least the share p of documents do not exceed, read from the prefix sums; no rows for an empty histogram."""
+    return _asked(histogram, "p", probabilities, "double", "n_tokens", lambda p: F.min(F.when(F.col("n_docs_at_most") >= F.lit(float(p)) * F.col("total_docs"), F.col("n_tokens"))))
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """Tokens kept when every document is cut to ``limit``, for any limits, from the histogram alone."""
-    asked = F.explode(F.array(*[F.lit(x).cast("long") for x in limits])).alias("limit")
-    return (
-        histogram.select("n_tokens", "n_docs", asked)
-        .groupBy("limit")
-        .agg(F.sum(F.least("n_tokens", "limit") * F.col("n_docs")).alias("truncated_total"))
-    )
+    """Tokens kept when every document is cut to ``limit``, for any limits from 0; no rows for an empty histogram.
+
+    The last length within a limit has the answer in its sums: all its tokens and those of shorter
+    documents, and the limit once for each longer document. Below the shortest length every document is cut.
+    """
+
+    def kept(limit: int) -> Column:
+        last = F.max(F.when(F.col("n_tokens") <= limit, F.struct("n_tokens", "tokens_at_most", "n_docs_longer")))
+        every = F.max("total_docs") * F.lit(limit).cast("long")
+        return F.coalesce(last["tokens_at_most"] + last["n_docs_longer"] * F.lit(limit).cast("long"), every)
+
+    return _asked(histogram, "limit", limits, "bigint", "truncated_total", kept)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
