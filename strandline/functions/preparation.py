@@ -147,6 +147,11 @@ def junction_features(x: Column, spans: Column, expected: Column) -> Column:
     return F.flatten(F.zip_with(stats, expected, lambda s, e: F.array(F.coalesce(s["dwell"], none), s["mean"], s["sd"], s["mean"] - e)))
 
 
+def stay_cost(past: Column, target: float, weight: float) -> Column:
+    """Cost of a base by the samples past its first: quadratic in what lacks to the target, logarithmic from there on."""
+    return weight * F.when(past < target, F.pow(target - past, F.lit(2.0))).otherwise(F.log1p(past / target))
+
+
 def dwell_penalty(dwell: Column, target: float, weight: float, limit: float) -> Column:
     """Quadratic below the target, logarithmic above, at most ``limit``."""
     below = weight * F.pow((dwell - target) / target, F.lit(2.0))

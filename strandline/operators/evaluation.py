@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from strandline.operators.summary import running_totals
 
 
 def agreement(calls: DataFrame, floor: float = 0.5) -> DataFrame:
@@ -51,9 +52,8 @@ def boundary_differences(pairs: DataFrame) -> DataFrame:
     The order statistics come from counts per value, not from a list of all rows.
     """
     absolute = F.abs("difference")
-    counted = pairs.groupBy(absolute.alias("a")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.select("a", F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    counted = pairs.where(F.col("difference").isNotNull()).groupBy(absolute.alias("a")).agg(F.count("*").alias("c"))
+    running = running_totals(counted, "a", "c").select("a", F.col("_upto").alias("upto"), F.col("_total").alias("n"))
     at = lambda p: F.min(F.when(F.col("upto") > p, F.col("a")))
     order = running.agg(at(F.floor(F.col("n") / 2)).alias("median_abs"), at(F.floor(F.col("n") * 0.95)).alias("p95_abs"))
     means = pairs.agg(F.count("*").alias("n"), F.avg("difference").alias("mean"), F.avg(absolute).alias("mean_abs"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from strandline.operators.kernels import banded_path, half_band
+from strandline.operators.kernels import banded_path, dwell_path, half_band
 
 #: Quantiles that a rough rescale matches.
 ROUGH_QUANTILES = np.linspace(0.05, 0.95, 19)
@@ -54,13 +54,14 @@ def rescale(x, boundaries, levels, low: float = 0.1, high: float = 0.9, least_di
     return {"scale": float(solved[0]), "shift": float(solved[1]), "drift": float(solved[2])} if solved[0] >= LEAST_SLOPE else None
 
 
-def refine_map(x, boundaries, levels, rounds: int = 2, half: int = 5) -> list[int]:
-    """Boundaries after rough rescaling and rounds of banded alignment and rescaling; a rescale that fails is left out."""
+def refine_map(x, boundaries, levels, rounds: int = 2, half: int = 5, dwell: tuple[float, float] | None = None) -> list[int]:
+    """Boundaries after rough rescaling and rounds of banded alignment and rescaling; a rescale that fails is left out. ``dwell`` is a target and a weight of dwell costs."""
     x, levels = np.asarray(x, float), np.asarray(levels, float)
     rough = rough_rescale(x, levels)
     now, at = x * rough["scale"] + rough["shift"], list(boundaries)
     for _ in range(rounds):
-        found = banded_path(now, levels, *half_band(at, half, len(x)))
+        band = half_band(at, half, len(x))
+        found = dwell_path(now, levels, *band, *dwell) if dwell else banded_path(now, levels, *band)
         if not found:
             break
         at = found

@@ -7,16 +7,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Values of a range of this width are one block of ``running_totals``.
+BLOCK = 4096
+
+
+def running_totals(counted: DataFrame, value: str, weight: str, groups: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """``counted`` (one row per group and value, no null values) with ``_upto``, the running sum of ``weight`` in the order of ``value``, and ``_total``.
+
+    Blocks of values are summed first: one window runs over the blocks' totals, another inside each
+    block, so no task holds all values of a group. Null groups are a group of their own.
+    """
+    groups, order = groups or [], F.desc if descending else F.asc
+    blocked = counted.withColumn("_block", F.floor(F.col(value) / BLOCK))
+    of_group = Window.partitionBy(*groups)
+    before = of_group.orderBy(order("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        blocked.groupBy(*groups, "_block")
+        .agg(F.sum(weight).alias("_sum"))
+        .select(
+            *[F.col(g).alias(f"_group{i}") for i, g in enumerate(groups)],
+            F.col("_block").alias("_other"),
+            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+            F.sum("_sum").over(of_group).alias("_total"),
+        )
+    )
+    same = F.col("_block") == F.col("_other")
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_group{i}"))
+    inside = Window.partitionBy(*groups, "_block").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return blocked.join(blocks, same).withColumn("_upto", F.col("_before") + F.sum(weight).over(inside))
+
+
 def n50(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
     """The value at which the running total from the largest down first reaches half of the total (integer division).
 
-    Values are counted first, so the window sorts distinct values and not rows.
+    Values are counted first, so distinct values are sorted and not rows.
     """
     groups = groups or []
     counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n")).withColumn("_t", F.col(value) * F.col("_n"))
-    w = Window.partitionBy(*groups)
-    running = counted.withColumn("_run", F.sum("_t").over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_t").over(w))
-    return running.where(F.expr("_run >= _total div 2")).groupBy(*groups).agg(F.max(value).alias("n50"))
+    running = running_totals(counted, value, "_t", groups, descending=True)
+    return running.where(F.expr("_upto >= _total div 2")).groupBy(*groups).agg(F.max(value).alias("n50"))
 
 
 def statistics(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:

@@ -129,6 +129,22 @@ def dwell_penalties(spark, sf):
     return _rounded(relation(spark, sf, "samples").select("id", "i", P.dwell_penalty(F.col("v"), 50.0, 0.5, 0.3).alias("cost")), 9)
 
 
+@query("select id, i, round(0.5 * case when v < 50 then pow(50 - v, 2) else ln(1 + v / 50) end, 6) as cost from <samples>")
+def stay_costs(spark, sf):
+    return _rounded(relation(spark, sf, "samples").select("id", "i", P.stay_cost(F.col("v"), 50.0, 0.5).alias("cost")))
+
+
+@query()
+def dwell_alignment(spark, sf):
+    def align(x):
+        import numpy as np
+
+        guess = np.linspace(0, len(x), 9).astype(int)
+        return K.dwell_path(x, [float(np.mean(x[a:b])) for a, b in zip(guess, guess[1:])], *K.half_band(guess, 2, len(x)), 8.0, 0.01)
+
+    return _vectors(spark, sf).select("id", K.column(align, "array<bigint>")("x").alias("boundaries"))
+
+
 @query(f"select id, p, round(1 / (1 + exp(v * -1.7 + 0.2)), 6) as y from {_CELLS}")
 def platt_scaling(spark, sf):
     return _exploded(_vectors(spark, sf).select("id", F.transform("x", lambda v: P.platt(v, -1.7, 0.2)).alias("y")))
