@@ -76,9 +76,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int)
     return direct.unionByName(others.select(*left.columns, *names))
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator works on, so further columns can't clash with its own."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str | Column) -> DataFrame:
+    """Only the columns an operator works on, so further columns can't clash with its own."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
 def words_of(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, embedding_dedup, packing, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity
+from strandline.llm import bpe, embedding_dedup, filter_audit, packing, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe": bpe.op10_bpe,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_substring_dedup": substring_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_substring_dedup": substring_dedup.SQL, "op13_filter_audit": filter_audit.SQL}
