@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, decontamination, embedding_dedup, filter_audit, packing, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity
+from strandline.llm import bpe, decontamination, embedding_dedup, filter_audit, hard_negatives, packing, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe": bpe.op10_bpe,
     "op11_decontamination": decontamination.op11_decontamination,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_substring_dedup": substring_dedup.SQL, "op11_decontamination": decontamination.SQL, "op13_filter_audit": filter_audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op3_substring_dedup": substring_dedup.SQL, "op11_decontamination": decontamination.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_filter_audit": filter_audit.SQL}
