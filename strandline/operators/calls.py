@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.summary import at_rank, running_totals
+
 UNCLASSIFIED = "unclassified"
 
 
@@ -61,15 +63,15 @@ def classify_stats(scored: DataFrame, threshold: float) -> DataFrame:
     scored: (no_call, p), p null where there is no call.
     """
     n = F.count("p")
-    ranked = F.array_sort(F.collect_list("p"))
     count = lambda reason: F.count_if(F.col("no_call") == reason)
-    return scored.agg(
+    counts = scored.agg(
         F.count("*").alias("n"),
         n.alias("scored"),
         *[count(r).alias(r) for r in ("no_signal", "ns_mismatch", "abstain")],
-        F.get(ranked, F.floor(n / 2).cast("int")).alias("median_p"),
         F.when(n > 0, F.count_if(F.col("p") >= threshold) * 100.0 / n).otherwise(0.0).alias("percent_over"),
     )
+    running = running_totals(scored.where("p is not null").groupBy("p").agg(F.count("*").alias("c")), "p", "c", width=1 / 4096)
+    return counts.join(F.broadcast(running.agg(at_rank(F.floor(F.col("_total") / 2), "p").alias("median_p"))), F.lit(True), "left")
 
 
 def match_percentage(matched: Column, total: Column) -> Column:

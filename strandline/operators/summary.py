@@ -11,31 +11,45 @@ from pyspark.sql.window import Window
 BLOCK = 4096
 
 
-def running_totals(counted: DataFrame, value: str, weight: str, groups: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """``counted`` (one row per group and value, no null values) with ``_upto``, the running sum of ``weight`` in the order of ``value``, and ``_total``.
+def running_totals(counted: DataFrame, value: str, weight: str | list[str], groups: list[str] | None = None, descending: bool = False, width: float = BLOCK) -> DataFrame:
+    """``counted`` (one row per group and value) with ``_upto``, the running sum of ``weight`` in the order of ``value``, and ``_total``.
 
-    Blocks of values are summed first: one window runs over the blocks' totals, another inside each
-    block, so no task holds all values of a group. Null groups are a group of their own.
+    Several weights give ``_upto_<weight>`` and ``_total_<weight>`` each. Blocks of values, ``width`` wide,
+    are summed first: one window runs over the blocks' totals, another inside each block, so no task
+    holds all values of a group. Null groups are a group of their own, null values come first.
     """
-    groups, order = groups or [], F.desc if descending else F.asc
-    blocked = counted.withColumn("_block", F.floor(F.col(value) / BLOCK))
+    groups, order = groups or [], F.desc_nulls_last if descending else F.asc
+    weights = {weight: ""} if isinstance(weight, str) else {w: f"_{w}" for w in weight}
+    blocked = counted.withColumn("_block", F.floor(F.col(value) / width))
     of_group = Window.partitionBy(*groups)
     before = of_group.orderBy(order("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        blocked.groupBy(*groups, "_block")
-        .agg(F.sum(weight).alias("_sum"))
-        .select(
-            *[F.col(g).alias(f"_group{i}") for i, g in enumerate(groups)],
-            F.col("_block").alias("_other"),
-            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
-            F.sum("_sum").over(of_group).alias("_total"),
-        )
+    sums = blocked.groupBy(*groups, "_block").agg(*[F.sum(w).alias(f"_sum{k}") for w, k in weights.items()])
+    blocks = sums.select(
+        *[F.col(g).alias(f"_group{i}") for i, g in enumerate(groups)],
+        F.col("_block").alias("_other"),
+        *[F.coalesce(F.sum(f"_sum{k}").over(before), F.lit(0)).alias(f"_before{k}") for k in weights.values()],
+        *[F.sum(f"_sum{k}").over(of_group).alias(f"_total{k}") for k in weights.values()],
     )
-    same = F.col("_block") == F.col("_other")
+    same = F.col("_block").eqNullSafe(F.col("_other"))
     for i, g in enumerate(groups):
         same &= F.col(g).eqNullSafe(F.col(f"_group{i}"))
     inside = Window.partitionBy(*groups, "_block").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.join(blocks, same).withColumn("_upto", F.col("_before") + F.sum(weight).over(inside))
+    return blocked.join(blocks, same).withColumns({f"_upto{k}": F.col(f"_before{k}") + F.sum(w).over(inside) for w, k in weights.items()})
+
+
+def at_rank(rank: Column, value: str, upto: str = "_upto") -> Column:
+    """Aggregate over running counts: the value of the row with this rank, from 0."""
+    return F.min(F.when(F.col(upto) > rank, F.col(value)))
+
+
+def medians(df: DataFrame, value: str, groups: list[str] | None = None, width: float = BLOCK) -> DataFrame:
+    """Per group ``n`` and the exact ``median`` (mean of the middle two) of the values that are not null, by selection over running counts."""
+    groups = groups or []
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    running = running_totals(counted, value, "_n", groups, width=width)
+    n = F.col("_total")
+    found = running.groupBy(*groups).agg(F.max("_total").alias("n"), at_rank(F.floor((n - 1) / 2), value).alias("_low"), at_rank(F.floor(n / 2), value).alias("_high"))
+    return found.select(*groups, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
 
 
 def n50(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
@@ -50,16 +64,25 @@ def n50(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame
 
 
 def statistics(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """n, total, least, most, mean, median (integer mean of the middle two) and n50 of integer values; zeros where there are none."""
+    """n, total, least, most, mean, median (integer mean of the middle two) and n50 of integer values; zeros where there are none.
+
+    Rows are counted by value once; all figures follow from the running sums over these counts.
+    """
     groups = groups or []
-    middle = F.percentile(value, F.lit(0.5))
-    stats = df.groupBy(*groups).agg(
-        F.count(value).alias("n"), F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.coalesce(F.min(value), F.lit(0)).alias("least"), F.coalesce(F.max(value), F.lit(0)).alias("most"),
-        F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.coalesce(F.floor(middle), F.lit(0)).alias("median"),
+    v, n, total = F.col(value), F.col("_total_n"), F.col("_total_t")
+    counted = df.groupBy(*groups, value).agg(F.count(value).alias("n")).withColumn("t", F.coalesce(v * F.col("n"), F.lit(0)))
+    running = running_totals(counted, value, ["n", "t"], groups)
+    down = total - F.col("_upto_t") + F.col("t")  # the sum from the largest value to this one
+    here = lambda rank: F.min(F.when(v.isNotNull() & (F.col("_upto_n") > rank), v))
+    found = running.groupBy(*groups).agg(
+        F.max(n).alias("n"), F.max(total).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), here(F.floor((n - 1) / 2)).alias("_low"), here(F.floor(n / 2)).alias("_high"),
+        F.max(F.when(v.isNotNull() & (down >= F.expr("_total_t div 2")), v)).alias("n50"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return found.select(
+        *groups, zero(F.col("n")).alias("n"), zero(F.col("total")).alias("total"), zero(F.col("least")).alias("least"), zero(F.col("most")).alias("most"),
+        F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("mean"), zero(F.floor((F.col("_low") + F.col("_high")) / 2)).alias("median"), zero(F.col("n50")).alias("n50"),
     )
-    half = n50(df, value, groups)
-    joined = stats.join(half, groups, "left") if groups else stats.join(F.broadcast(half), F.lit(True), "left")
-    return joined.withColumn("n50", F.coalesce("n50", F.lit(0)))
 
 
 def channels_of_device(most: Column) -> Column:
@@ -104,7 +127,7 @@ def consensus(fingerprints: DataFrame) -> DataFrame:
     sized = fingerprints.select("barcode", F.size("values").alias("size"), "values")
     modal = sized.groupBy("barcode", "size").agg(F.count("*").alias("n")).groupBy("barcode").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("size"))
     cells = sized.join(modal, ["barcode", "size"]).select("barcode", F.posexplode(F.col("values").cast("array<double>")).alias("position", "value"))
-    middle = cells.groupBy("barcode", "position").agg(F.median("value").alias("consensus"), F.count("*").alias("n"))
+    middle = medians(cells, "value", ["barcode", "position"], width=1 / 16).select("barcode", "position", F.col("median").alias("consensus"))
     # The spread is around the median, so moments are not enough: join the medians back.
     return (
         cells.join(middle, ["barcode", "position"])

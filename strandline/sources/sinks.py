@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _located(path: str):
+    """The path's file system and the path with its scheme, as Spark resolves them."""
+    spark = SparkSession.active()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(where)
+
+
+def exists(path: str) -> bool:
+    system, where = _located(path)
+    return system.exists(where)
+
+
 def check_output(path: str, inputs: Sequence[str], force: bool = False) -> None:
-    """Refuse an output that is one of the inputs, or that exists without ``force``."""
-    own = os.path.abspath(path)
-    if own in {os.path.abspath(p) for p in inputs}:
-        raise ValueError(f"{path} is also an input")
-    if os.path.exists(own) and not force:
+    """Refuse an output that is one of the inputs (however written), holds one or lies in one, or that exists without ``force``."""
+    own = _located(path)[1].toString().rstrip("/")
+    for source in inputs:
+        other = _located(source)[1].toString().rstrip("/")
+        if f"{own}/".startswith(f"{other}/") or f"{other}/".startswith(f"{own}/"):
+            raise ValueError(f"{path} is also an input" if own == other else f"{path} and the input {source} lie in each other")
+    if exists(path) and not force:
         raise FileExistsError(path)
 
 
@@ -62,7 +76,7 @@ def write_per_barcode(reads: DataFrame, path: str, barcode: str = "barcode", cla
 
 def repack(spark, source: str, target: str, rows_per_file: int, force: bool = False) -> bool:
     """Rewrite a table with files of at most ``rows_per_file`` rows; an existing target is skipped (false) without ``force``."""
-    if os.path.exists(target) and not force:
+    if exists(target) and not force:
         return False
     check_output(target, [source], force=True)
     spark.read.parquet(source).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(target)

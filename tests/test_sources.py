@@ -86,3 +86,20 @@ def test_streaming_merge_and_activity(spark, tmp_path):
     assert ingest.run_to_end(ingest.merged(stream, "t"), "merged_reads", str(tmp_path / "c1")).count() == 6
     got = ingest.run_to_end(ingest.channel_activity(stream, "t", "6 minutes"), "activity", str(tmp_path / "c2"), "complete").collect()
     assert sum(r.reads for r in got) == 12 and {r.channel for r in got} == {0, 1}
+
+
+def test_outputs_are_found_through_their_file_system(spark, tmp_path):
+    from strandline.sources import sinks
+
+    spark.range(3).write.parquet(f"{tmp_path}/old")
+    spark.range(10).write.parquet(f"{tmp_path}/new")
+    for target in (f"file://{tmp_path}/old", f"file:{tmp_path}/old", f"{tmp_path}/old"):
+        assert sinks.repack(spark, f"{tmp_path}/new", target, 5) is False
+        assert spark.read.parquet(target).count() == 3
+        with pytest.raises(FileExistsError):
+            sinks.check_output(target, [])
+    for source in (f"file://{tmp_path}/new", f"{tmp_path}/new/part.parquet", f"{tmp_path}"):
+        with pytest.raises(ValueError):
+            sinks.check_output(f"{tmp_path}/new", [source], force=True)
+    assert sinks.repack(spark, f"{tmp_path}/new", f"file://{tmp_path}/old", 5, force=True)
+    assert spark.read.parquet(f"{tmp_path}/old").count() == 10
