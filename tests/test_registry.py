@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from strandline.plans import extended, registry
+from strandline.plans import models, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -22,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(extended.QUERIES))
+@pytest.mark.parametrize("name", sorted(models.QUERIES))
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     names = sorted(df.columns)
