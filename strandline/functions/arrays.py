@@ -145,8 +145,8 @@ def span_stats(x: Column, spans: Column) -> Column:
 
 
 def scale_probability(p: Column) -> Column:
-    """0..255, half away from zero."""
-    return F.round(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
+    """0..255, half away from zero; null for null."""
+    return F.when(p.isNotNull(), F.round(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
 
 
 def quantiles(x: Column, qs: list[float]) -> Column:

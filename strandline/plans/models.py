@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from strandline.operators import anchoring as N
+from strandline.operators import calls as C
+from strandline.operators import relations as R
 from strandline.operators import support_vectors as V
 from strandline.plans.bindings import relation
 from strandline.plans.extended import ORACLE_SQL, QUERIES
@@ -18,8 +22,6 @@ _FIRST = "(select id, label from (select id, label, row_number() over (partition
 
 
 def _first(spark, sf, n):
-    from pyspark.sql.window import Window
-
     return relation(spark, sf, "vectors").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("r") <= n).drop("r")
 
 
@@ -74,3 +76,143 @@ def svm_classify(spark, sf):
     vectors = relation(spark, sf, "vectors")
     model = V.train(vectors, gamma=0.5, cost=10.0, window=0, per_class=30)
     return V.winners(V.decisions(V.kernel_rows(vectors.select("id", "x"), model), model.coefficients))
+
+# --- anchors and classification ------------------------------------------------------------------
+
+#: Where the marks lie on each reference; R has none.
+_GEOMETRY = {"A": (9, 10, 16, 4, 18), "N": (11, 12, 18, 5, 20)}
+_OFFSETS = [-2, -1, 0, 1, 2, 3, 4]
+#: Alignments by numbers: s bases clipped, m aligned, a gap (deletion or insertion), ``tail`` aligned; a move every step but each fourth.
+_LINES = """select l_orderkey * 10 + l_linenumber as read_id, l_returnflag as reference, l_linenumber <> 6 as mapped, l_linestatus = 'F' and l_linenumber = 5 as reverse, l_linenumber * 10 as mapq, l_partkey % 5 as start, l_suppkey % 3 as s,
+  5 + l_linenumber as m, 1 + l_linenumber % 2 as gap, l_quantity % 2 = 0 as deletion, case when l_suppkey % 10 = 0 then 1 else 30 end as tail, l_partkey as shift, case when l_suppkey % 7 = 3 then null else 40 end as n_moves, 5 as stride, l_linenumber as ts, 205 as ns from {lineitem}"""
+_ARRAYS = """select id as read_id, case id % 5 when 0 then 'R' when 1 then 'N' else 'A' end as reference, true as mapped, false as reverse, 60 as mapq, id % 5 as start, id % 3 as s,
+  5 + id % 7 as m, 1 + id % 2 as gap, id % 4 < 2 as deletion, case when id % 10 = 3 then 1 else 30 end as tail, id as shift, 32 as n_moves, 2 as stride, 0 as ts, case when id % 11 = 0 then 65 else 64 end as ns from {vectors}"""
+
+
+def _alignments(spark, text, **tables):
+    op = lambda name, n: F.struct(F.lit(name).alias("op") if isinstance(name, str) else name.alias("op"), F.col(n).cast("long").alias("len"))
+    rows = spark.sql(text, **tables)
+    moves = F.when(F.col("n_moves").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("n_moves") - 1), lambda i: F.when((i + F.col("shift")) % 4 == 0, 0).otherwise(1)))
+    ops = F.array(op("S", "s"), op("M", "m"), op(F.when(F.col("deletion"), "D").otherwise("I"), "gap"), op("M", "tail"))
+    return rows.withColumns({"ops": ops, "moves": moves, "secondary": F.lit(False), "supplementary": F.lit(False)})
+
+
+def _geometry(spark):
+    return spark.createDataFrame([(k, *v) for k, v in _GEOMETRY.items()], ["reference", *N.GEOMETRY])
+
+
+def _anchor_sql(text: str) -> str:
+    """The same anchors by closed forms: two aligned runs, so a position's base is one of two sums."""
+    q = lambda c: f"(case when {c} >= start and {c} < start + m then s + {c} - start when {c} >= r2 and {c} < r2 + tail then q2 + {c} - r2 end)"
+    up = lambda c, d: f"case when not ({c} < divergent and {c} + {d} >= divergent) then {q(f'({c} + {d})')} end"
+    near = lambda c: f"coalesce({q(c)}, {up(c, 1)}, {q(f'({c} - 1)')}, {up(c, 2)}, {q(f'({c} - 2)')})"
+    rows = ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in _GEOMETRY.items())
+    marks = {"q_junction": "junction", "q_cca_a": "cca_a", "q_div_m1": "(divergent - 1)", "q_body_mid": "body_mid", "q_polya_mid": "polya_mid"}
+    at = [f"(junction + {o})" for o in _OFFSETS]
+    return f"""g(reference, {", ".join(N.GEOMETRY)}) as (values {rows}), al as (
+  select *, start + m + case when deletion then gap else 0 end as r2, s + m + case when deletion then 0 else gap end as q2 from ({text}) left join g using (reference)
+), an as (
+  select read_id, reference, ns, {", ".join(f"{near(c)} as {n}" for n, c in marks.items())}, [{", ".join(f"coalesce({q(c)}, -1)" for c in at)}] as qf, [{", ".join(near(c) for c in at)}] as qo,
+    case when n_moves is not null then list_append(list_transform(list_filter(range(0, n_moves), lambda i: (i + shift) % 4 <> 0), lambda i: i * stride + ts), ns) end as s2s, mapped, reverse, mapq, junction, n_moves from al
+), anchored as (
+  select *, len(s2s) - 1 as nb, case when not mapped or reverse then 'filtered' when mapq < 20 then 'low_mapq' when junction is null then 'no_geometry' when n_moves is null then 'no_tags' when q_junction is null or q_cca_a is null then 'unanchored'
+    when len(list_filter(list_concat(qo, [{", ".join(marks)}]), lambda x: x >= len(s2s) - 1)) > 0 then 'query_out_of_range' end as skip from an
+)"""
+
+
+def _span_sql(q: str, reverse: bool) -> tuple[str, str]:
+    a, b = f"s2s[{q} + 1]", f"s2s[{q} + 2]"
+    return (f"(ns - {b})", f"(ns - {a})") if reverse else (a, b)
+
+
+def _coordinates_sql(reverse: bool, arm: int) -> str:
+    base = [f"(q_junction + {o})" if arm and 1 <= o <= arm else "-1" if arm and o > arm else f"qf[{i + 1}]" for i, o in enumerate(_OFFSETS)]
+    ok = lambda q: f"({q} >= 0 and {q} < nb)"
+    start, end = (lambda q: f"case when {ok(q)} then {_span_sql(q, reverse)[0]} else -1 end"), (lambda q: f"case when {ok(q)} then {_span_sql(q, reverse)[1]} else -1 end")
+    arms = [i for i, o in enumerate(_OFFSETS) if o >= 1]
+    last = f"(q_junction + {arm})" if arm else "q_div_m1"
+    least = f"list_min([{', '.join(f'case when {ok(base[i])} then {start(base[i])} end' for i in arms)}])"
+    exact = f"case when {ok(last)} then {start(last)} end"
+    deep = lambda tests: f"greatest(0, {', '.join(f'case when {t} then {_OFFSETS[i]} else 0 end' for i, t in zip(arms, tests))})"
+    js, je = _span_sql("q_junction", reverse)
+    cs, ce = _span_sql("q_cca_a", reverse)
+    return f"""select read_id, [{", ".join(start(b) for b in base)}] as starts, [{", ".join(end(b) for b in base)}] as ends, {js} as junction_sig, {je} - {js} as junction_dwell, {cs} as cca_a_sig, {ce} - {cs} as cca_a_dwell,
+  coalesce({start("q_body_mid")}, -1) as body_mid_sig, coalesce({start("q_polya_mid")}, -1) as polya_mid_sig, {deep([ok(base[i]) for i in arms])} as arm_depth, {deep([ok(f"qf[{i + 1}]") for i in arms])} as aligner_depth,
+  coalesce({exact}, {least}, {js}) as common_start_sig, case when {exact} is not null then '{"counted" if arm else "exact"}' when {least} is not null then 'arm_fallback' else 'junction_fallback' end as mask_source, [{", ".join(base)}] as bases from anchored where skip is null"""
+
+
+_Q = "q_junction, q_cca_a, q_div_m1, q_body_mid, q_polya_mid"
+
+
+def _anchored(spark, text, **tables):
+    return N.anchor_reads(_alignments(spark, text, **tables), _geometry(spark), _OFFSETS, least_mapq=20)
+
+
+def _lines(spark, sf):
+    return _anchored(spark, _LINES, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+
+
+@query(f"with {_anchor_sql(_LINES.format(lineitem='lineitem'))} select read_id, skip, nb, {_Q}, array_to_string(qf, ',') as qf from anchored")
+def anchored_reads(spark, sf):
+    return _lines(spark, sf).select("read_id", "skip", F.when(F.col("nb") >= 0, F.col("nb")).alias("nb"), *_Q.split(", "), F.array_join("qf", ",").alias("qf"))
+
+
+@query(f"""with {_anchor_sql(_LINES.format(lineitem="lineitem"))} select mode, * exclude (mode, starts, ends, bases), array_to_string(starts, ',') as starts, array_to_string(ends, ',') as ends from (
+  select 'time' as mode, * from ({_coordinates_sql(False, 0)}) union all select 'reversed' as mode, * from ({_coordinates_sql(True, 0)})
+  union all select 'counted' as mode, * from ({_coordinates_sql(False, 3)}))""")
+def junction_coordinates(spark, sf):
+    """All anchored reads in three ways: in time, reversed, and with counted arm bases."""
+    anchored = _lines(spark, sf).where("skip is null")
+    names = ["junction_sig", "junction_dwell", "cca_a_sig", "cca_a_dwell", "body_mid_sig", "polya_mid_sig", "arm_depth", "aligner_depth", "common_start_sig", "mask_source"]
+    found = None
+    for mode, back, arm in (("time", False, 0), ("reversed", True, 0), ("counted", False, 3)):
+        c = N.signal_coordinates(anchored, _OFFSETS, back, arm)
+        texts = [F.array_join(f"spans.{k}", ",").alias(f"{k}s") for k in ("start", "end")]
+        one = c.select(F.lit(mode).alias("mode"), "read_id", *names, *texts)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(f"with {_anchor_sql(_LINES.format(lineitem='lineitem'))} select count(*) as n, avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) as share_reversed, 'forward' as decision from anchored where skip is null and q_body_mid < nb having avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) < 0.05 union all select count(*), avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end), 'reversed' from anchored where skip is null and q_body_mid < nb having avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) > 0.95")
+def anchored_orientation(spark, sf):
+    return R.orientation(N.orientation_votes(_lines(spark, sf)))
+
+
+#: Cells of the feature grid (offsets x dwell, mean, sd, residual), and two trees over them.
+_PICKED = [8, 9, 15]
+_FOREST = [
+    {"feature": [1, -1, -1], "threshold": [0.0, 0, 0], "left": [1, 0, 0], "right": [2, 0, 0], "value": [0, -0.5, 0.7], "missing_left": [True, False, False], "class": 0},
+    {"feature": [2, -1, 0, -1, -1], "threshold": [0.2, 0, 2.0, 0, 0], "left": [1, 0, 3, 0, 0], "right": [2, 0, 4, 0, 0], "value": [0, 0.3, 0, -0.4, 0.9], "missing_left": [False, False, True, False, False], "class": 0},
+]
+_CHAIN = f"""with {_anchor_sql(_ARRAYS.format(vectors="<vectors>"))}, co as ({_coordinates_sql(False, 3)}), cells as (
+  select id, p, v, (round_even(v * 1000, 0) + 10) * 0.15 as pa from {_CELLS}
+), gauge as (select id, median(pa) as m, mad(pa) * 1.4826 as d, avg(v) as lm, stddev_pop(v) as ls from cells group by id), why as (
+  select a.read_id, a.reference, starts, ends, bases, case when a.read_id % 13 = 0 then 'no_signal' when ns <> 64 then 'ns_mismatch' when aligner_depth = 0 then 'no_aligned_arm' end as reason from anchored a join co using (read_id)
+), x as (
+  select read_id, k, any_value(ends[k] - starts[k]) as dwell, avg((pa - m) / d) as mean, any_value(bases[k]) as base from why, (select unnest([3, 4]) as k), cells c join gauge g using (id)
+  where c.id = read_id and reason is null and starts[k] >= 0 and p > starts[k] and p <= ends[k] group by read_id, k
+), f as (
+  select read_id, max(case when k = 3 then dwell end) as dwell, max(case when k = 3 then mean end) as mean, max(case when k = 4 then mean - (v - lm) / ls end) as resid from x join cells c on c.id = read_id and c.p = base + 1 join gauge g on g.id = read_id group by read_id
+), scored as (
+  select why.*, case when reason is null then 1 / (1 + exp(-(0.1 + case when coalesce(mean <= 0, true) then -0.5 else 0.7 end + case when coalesce(resid <= 0.2, false) then 0.3 when coalesce(dwell <= 2, true) then -0.4 else 0.9 end))) end as p from why left join f using (read_id)
+)"""
+
+
+def _chain(spark, sf):
+    vectors = relation(spark, sf, "vectors")
+    levels = vectors.select(F.col("id").alias("read_id"), F.col("x").cast("array<double>").alias("levels"))
+    anchored = _anchored(spark, _ARRAYS, vectors=vectors).join(levels, "read_id")
+    signals = vectors.where("id % 13 <> 0").select(F.col("id").alias("read_id"), F.transform("x", lambda v: F.rint(v.cast("double") * 1000)).alias("signal"), F.lit(10.0).alias("offset"), F.lit(0.15).alias("scale"))
+    return N.classify_reads(anchored, signals, _OFFSETS, _PICKED, _FOREST, [0.1], reversed_signal=False, arm_bases=3)
+
+
+@query(f"{_CHAIN} select read_id, reference, reason, round(p, 6) as p, cast(round(p * 255) as int) as cl from scored")
+def classified_reads(spark, sf):
+    return _rounded(N.ordered_calls(_chain(spark, sf)[0].select("read_id", "reference", "reason", "p", "cl")))
+
+
+@query(f"""{_CHAIN} select count(*) as n, count(p) as scored, count(*) filter (reason = 'no_signal') as no_signal, count(*) filter (reason = 'ns_mismatch') as ns_mismatch, count(*) filter (reason = 'no_aligned_arm') as abstain,
+  round(list_sort(list(p) filter (p is not null))[count(p) // 2 + 1], 6) as median_p, round(count(*) filter (p >= 0.6) * 100.0 / count(p), 6) as percent_over from scored""")
+def classified_statistics(spark, sf):
+    calls = _chain(spark, sf)[0]
+    return _rounded(C.classify_stats(calls.select(F.when(F.col("reason") == "no_aligned_arm", "abstain").otherwise(F.col("reason")).alias("no_call"), "p"), 0.6))
