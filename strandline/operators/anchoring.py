@@ -58,9 +58,14 @@ def within(near: Column, slop: int = SLOP) -> Column:
 
 
 def reference_positions(alignments: DataFrame, wanted: Column, slop: int = SLOP, barrier: Column | None = None) -> DataFrame:
-    """``alignments`` (start, ops) with ``query``: for each position of the array ``wanted`` the nearest base within ``slop``, or null."""
+    """``alignments`` (start, ops) with ``query``: for each position of the array ``wanted`` the nearest base within ``slop`` as struct(base, donor), with the position it is aligned to, or null."""
+
+    def one(found: Column, r: Column) -> Column:
+        donor = lambda n: r + F.when(n["below"], -n["off"]).otherwise(n["off"])
+        return A.bound(nearest_base(found, r, barrier), lambda n: F.when(n["off"] <= slop, F.struct(n["base"].alias("base"), donor(n).alias("donor"))))
+
     runs = aligned_runs(F.col("ops"), F.col("start"), F.array_min(wanted) - slop, F.array_max(wanted) + slop)
-    return alignments.withColumn("query", A.bound(runs, lambda found: F.transform(wanted, lambda r: within(nearest_base(found, r.cast("long"), barrier), slop))))
+    return alignments.withColumn("query", A.bound(runs, lambda found: F.transform(wanted, lambda r: one(found, r.cast("long")))))
 
 
 def signal_map(moves: Column, stride: Column, trim: Column, ns: Column) -> Column:

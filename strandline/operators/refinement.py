@@ -90,33 +90,3 @@ def call_from_probabilities(p, thresholds) -> int:
     best = len(p) - 1 - int(p[::-1].argmax())
     lead = p[best] - np.delete(p, best).max() if len(p) > 1 else 1.0
     return best if lead >= thresholds[best] else -1
-
-
-def reference_scores(scores, references: list[str], n_base: int, state_len: int, alphabet: str = "NACGT") -> list[float]:
-    """log P(reference | signal) for each reference under a lattice of k-mer states.
-
-    The chain of a reference steps through its k-mers, staying or entering the next; the first k-mer
-    may follow any state. The partition function runs over all paths. A reference shorter than a k-mer or with another symbol is an error.
-    """
-    s = np.asarray(scores, float).reshape(len(scores), -1, n_base + 1)
-    steps, states, _ = s.shape
-    k = np.arange(states)
-    source = np.stack([k, *[(b * states + k) // n_base for b in range(n_base)]], 1)
-    whole = np.zeros(states)
-    for t in range(steps):
-        whole = np.logaddexp.reduce(whole[source] + s[t], axis=1)
-    total, out = np.logaddexp.reduce(whole), []
-    for ref in references:
-        digits = [alphabet.index(c) - 1 for c in ref]
-        if len(digits) < state_len or min(digits) < 0:
-            raise ValueError(f"{ref!r} is no reference for states of {state_len} bases")
-        chain = [sum(d * n_base ** (state_len - 1 - j) for j, d in enumerate(digits[i : i + state_len])) for i in range(len(digits) - state_len + 1)]
-        enter = [0] + [1 + chain[i - 1] * n_base // states for i in range(1, len(chain))]
-        alpha = np.full(len(chain), -np.inf)
-        alpha[0] = 0.0
-        for t in range(steps):
-            stay = alpha + s[t, chain, 0]
-            move = np.concatenate([[-np.inf], alpha[:-1] + s[t, chain[1:], enter[1:]]]) if len(chain) > 1 else np.array([-np.inf])
-            alpha = np.logaddexp(stay, move)
-        out.append(float(alpha[-1] - total))
-    return out

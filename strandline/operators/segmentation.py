@@ -68,3 +68,31 @@ def running_band(df: DataFrame) -> DataFrame:
     """(id, i, low, high): a monotone band from rows (id, i, lo, hi): cumulative maximum forward, cumulative minimum backward."""
     w = Window.partitionBy("id").orderBy("i")
     return df.select("id", "i", F.max("lo").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("low"), F.min("hi").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("high"))
+
+
+def early_stopped_gains(samples: DataFrame, least: int, trim: int, window: int, check: int, stride: int = 1) -> DataFrame:
+    """(id, i, gain): the log-likelihood gains of a scan every ``stride`` samples that ends where the trace falls.
+
+    From ``window`` samples on, at every ``check``-th, the scan looks back over the window: if the gains fall on
+    average, over the steps that arrive at a positive gain, it ends before that sample. The trace before
+    its end does not depend on the end, so it is the first failed check over the whole trace. Splits
+    without a positive variance on both sides have gain 0, as has a signal without variance.
+    """
+    v = F.col("v").cast("double")
+    w, whole = Window.partitionBy("id").orderBy("i"), Window.partitionBy("id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = samples.select("id", "i", F.sum(v).over(before).alias("s"), F.sum(v * v).over(before).alias("q"), F.count("*").over(whole).alias("n"), F.sum(v).over(whole).alias("t"), F.sum(v * v).over(whole).alias("tt"))
+    head, rest = F.col("i").cast("double"), (F.col("n") - F.col("i")).cast("double")
+    var = lambda q, s, n: q / n - (s / n) * (s / n)
+    place = F.col("i") - least
+    scanned = sums.where((F.col("i") >= least) & (F.col("i") > 0) & (F.col("i") < F.col("n") - trim) & (place % stride == 0))
+    scanned = scanned.withColumns({"vf": var(F.col("tt"), F.col("t"), F.col("n")), "vh": var(F.col("q"), F.col("s"), head), "vt": var(F.col("tt") - F.col("q"), F.col("t") - F.col("s"), rest)})
+    ok = (F.col("vf") > 1e-12) & (F.col("vh") > 1e-12) & (F.col("vt") > 1e-12)
+    gains = scanned.select("id", "i", F.when(ok, F.round(F.col("n") * F.ln("vf") - head * F.ln("vh") - rest * F.ln("vt"), 6)).otherwise(0.0).alias("gain"))
+    after = F.lead("gain").over(w)
+    steps = gains.withColumn("step", F.when(after > 0, after - F.col("gain")))
+    # Steps that start and end inside the window of the samples before this one.
+    back = w.rowsBetween(-(-(-window // stride)), -2)
+    failed = (place >= window) & (place % check == 0) & (F.avg("step").over(back) < 0)
+    ended = steps.withColumn("stop", F.min(F.when(failed, F.col("i"))).over(whole))
+    return ended.where("stop is null or i < stop").select("id", "i", "gain")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
 from strandline.functions import preparation as P
+from strandline.operators import anchoring as N
 from strandline.operators import annotations as T
 from strandline.operators import calls as C
 from strandline.operators import catalog as L
@@ -305,9 +306,9 @@ def aligned_bases(spark, sf):
 @query(f"""select read_id, cast(w as bigint) as ref_pos, query_pos, donor from (select read_id, w, query_pos, b.ref_pos as donor, row_number() over (partition by read_id, w order by abs(b.ref_pos - w), b.ref_pos desc) as r
   from {_BASES} b, (select unnest([10, 20, 30]) as w) where abs(b.ref_pos - w) <= 2 and not (w < 21 and b.ref_pos >= 21)) where r = 1""")
 def reference_to_query(spark, sf):
-    ops = _ops(spark, sf)
-    wanted = ops.select("read_id", F.explode(F.array(*[F.lit(w).cast("long") for w in (10, 20, 30)])).alias("ref_pos"))
-    return C.reference_to_query(C.aligned_bases(ops), wanted, 2, 21)
+    wanted = F.array(*[F.lit(w).cast("long") for w in (10, 20, 30)])
+    found = N.reference_positions(_ops(spark, sf), wanted, 2, F.lit(21)).select("read_id", F.posexplode("query").alias("k", "q"))
+    return found.where("q is not null").select("read_id", F.get(wanted, F.col("k")).alias("ref_pos"), F.col("q.base").alias("query_pos"), F.col("q.donor").alias("donor"))
 
 
 # --- annotations and lookups ---------------------------------------------------------------------

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.operators import anchoring as N
+from strandline.operators import batches as B
 from strandline.operators import calls as C
 from strandline.operators import relations as R
+from strandline.operators import searches as H
+from strandline.operators import segmentation as G
 from strandline.operators import support_vectors as V
 from strandline.plans.bindings import relation
 from strandline.plans.extended import ORACLE_SQL, QUERIES
@@ -216,3 +219,59 @@ def classified_reads(spark, sf):
 def classified_statistics(spark, sf):
     calls = _chain(spark, sf)[0]
     return _rounded(C.classify_stats(calls.select(F.when(F.col("reason") == "no_aligned_arm", "abstain").otherwise(F.col("reason")).alias("no_call"), "p"), 0.6))
+
+# --- searches ------------------------------------------------------------------------------------
+
+_REGIONS = "select p_partkey as region_id, cast(p_partkey % 3 as bigint) as contig, p_partkey as from_pos, p_partkey + case when p_partkey % 50 = 0 then 900 else p_size % 7 end as to_pos from part"
+
+
+@query(f"""select region_id, count(*) as n, min(read_id) as first_read, sum(ord) as ords from (select read_id, ord, start, end_pos, read_id % 3 as contig from <alignments>) a
+  join ({_REGIONS}) r on a.contig = r.contig and start <= to_pos and end_pos >= from_pos group by region_id""")
+def region_hits(spark, sf):
+    """All alignments in any of as many regions as there are parts, a few of them long."""
+    regions = spark.sql(_REGIONS.replace("from part", "from {p}"), p=spark.read.parquet(f"{sf}/part.parquet"))
+    alignments = relation(spark, sf, "alignments").select("read_id", "ord", "start", "end_pos", (F.col("read_id") % 3).alias("contig"))
+    hits = H.region_hits(alignments, regions, shift=5, levels=3)
+    return hits.groupBy("region_id").agg(F.count("*").alias("n"), F.min("read_id").alias("first_read"), F.sum("ord").alias("ords"))
+
+
+#: Sequences of twelve letters from the digits of a hash.
+_LETTERS = "translate(substr(md5(cast({key} as {text})), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query(f"""select id, name, cast(levenshtein(sequence, ref_sequence) as int) as distance from (select o_orderkey as id, {_LETTERS.format(key="o_orderkey", text="varchar")} as sequence from orders),
+  (select s_suppkey as name, {_LETTERS.format(key="-s_suppkey", text="varchar")} as ref_sequence from supplier) where levenshtein(sequence, ref_sequence) <= 3""")
+def within_edit_distance(spark, sf):
+    orders, suppliers = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "supplier"))
+    queries = orders.select(F.col("o_orderkey").alias("id"), F.expr(_LETTERS.format(key="o_orderkey", text="string")).alias("sequence"))
+    panel = suppliers.select(F.col("s_suppkey").alias("name"), F.expr(_LETTERS.format(key="-s_suppkey", text="string")).alias("ref_sequence"))
+    return H.within_distance(queries, panel, 3)
+
+
+_STOPPED = """with sums as (
+  select id, i, count(*) over w as n, sum(v) over w as t, sum(v * v) over w as tt, sum(v) over b as s, sum(v * v) over b as q from <samples> window w as (partition by id), b as (partition by id order by i rows between unbounded preceding and 1 preceding)
+), var as (
+  select id, i, n, tt / n - (t / n) ** 2 as vf, q / i - (s / i) ** 2 as vh, (tt - q) / (n - i) - ((t - s) / (n - i)) ** 2 as vt from sums where i >= 5 and i < n - 5 and (i - 5) % 2 = 0
+), gains as (
+  select id, i, case when vf > 1e-12 and vh > 1e-12 and vt > 1e-12 then round(n * ln(vf) - i * ln(vh) - (n - i) * ln(vt), 6) else 0 end as gain from var
+), stops as (
+  select a.id, a.i from gains a join gains j on j.id = a.id and j.i >= a.i - 12 and j.i + 2 < a.i join gains k on k.id = j.id and k.i = j.i + 2 and k.gain > 0
+  where a.i - 5 >= 12 and (a.i - 5) % 6 = 0 group by a.id, a.i having avg(k.gain - j.gain) < 0
+)
+select id, i, gain from gains left join (select id, min(i) as stop from stops group by id) using (id) where stop is null or i < stop"""
+
+
+@query(_STOPPED)
+def early_stopped_gains(spark, sf):
+    return G.early_stopped_gains(relation(spark, sf, "samples"), 5, 5, 12, 6, 2)
+
+
+# --- batches -------------------------------------------------------------------------------------
+
+
+@query()
+def moving_band_alignment(spark, sf):
+    """Each vector cut into eight levels, from an even guess."""
+    guess = F.sequence(F.lit(0).cast("long"), F.lit(64).cast("long"), F.lit(8).cast("long"))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(F.slice("x", i * 8 + 1, 8), F.lit(0.0), lambda a, v: a + v.cast("double")) / 8)
+    return B.align_moving_band(relation(spark, sf, "vectors").select("id", "x", levels.alias("levels"), guess.alias("boundaries")), 24)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
 from strandline.functions import sequences as S
+from strandline.operators import batches as B
 from strandline.operators import demux as D
 from strandline.operators import evaluation as E
 from strandline.operators import kernels as K
@@ -576,9 +577,9 @@ def refined_maps(spark, sf):
 
 @query()
 def reference_scores(spark, sf):
-    panel = ["ACGT", "TTAC", "GGCA"]
-    shaped = lambda x: [[[x[(4 * t + s + k) % len(x)] for k in range(5)] for s in range(4)] for t in range(len(x) // 4)]
-    return _vectors(spark, sf).select("id", K.column(lambda x: N.reference_scores(shaped(x), panel, 4, 1), "array<double>")("x").alias("log_p"))
+    """16 steps of a lattice of four states from each vector, against a panel with common prefixes."""
+    shaped = F.transform(F.sequence(F.lit(0), F.lit(16 * 4 * 5 - 1)), lambda i: F.get("x", (F.floor(i / 20) * 4 + F.floor(i % 20 / 5) + i % 5).cast("int") % F.size("x")))
+    return _rounded(B.score_panel(_vectors(spark, sf).select("id", shaped.alias("scores")), ["ACGT", "ACTT", "TTAC", "GGCA"], 4, 1).select("id", F.transform("log_p", lambda v: F.round(v, 6)).alias("log_p")))
 
 
 @query(f"select id, p, round((v - m) / d, 6) as y from {_CELLS} join (select id, avg(v) as m, stddev_pop(v) as d from {_CELLS} group by id) using (id)")

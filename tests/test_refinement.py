@@ -39,25 +39,3 @@ def test_fold_and_call():
     assert got["x"] == [-1, 1, 0, 0] and got["mask"] == [1, 1, 1, 0]
     assert R.call_from_probabilities([0.4, 0.2, 0.4], [0, 0, 0]) == 2
     assert R.call_from_probabilities([0.5, 0.4, 0.1], [0.2, 0, 0]) == -1 and R.call_from_probabilities([], []) == -1
-
-
-def test_reference_scores_sum_over_paths():
-    rng = np.random.default_rng(3)
-    s = rng.standard_normal((4, 4, 5))
-    weight = {}
-    for path in itertools.product(range(4), range(5), range(5), range(5), range(5)):  # start state, then stay (0) or base
-        state, seq, w = path[0], [path[0]], 0.0
-        for t, step in enumerate(path[1:]):
-            if step == 0:
-                w += s[t, state, 0]
-            else:
-                new = step - 1
-                w += s[t, new, 1 + state]
-                state = new
-                seq.append(new)
-        weight["".join("ACGT"[b] for b in seq)] = np.logaddexp(weight.get("".join("ACGT"[b] for b in seq), -np.inf), w)
-    total = np.logaddexp.reduce(list(weight.values()))
-    got = R.reference_scores(s, ["ACG", "TT", "C"], 4, 1)
-    assert got == pytest.approx([weight[r] - total for r in ("ACG", "TT", "C")])
-    with pytest.raises(ValueError):
-        R.reference_scores(s, ["AN"], 4, 1)
