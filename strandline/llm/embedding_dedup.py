@@ -1,10 +1,12 @@
 """Embedding near-duplicates by sorted projection passes.
 
-In each pass a vector gets a key of concatenated random hashes (quantised random projections); the
+In each pass a vector gets a key of concatenated random hashes (signs of random projections); the
 vectors are numbered in lexicographic order of their keys over all partitions, and the order is cut
 into fixed blocks. Each block is compared with itself and the next one, and with blocks farther and
 farther on while it keeps finding links, so a dense group is met whole wherever partitions end. Links
-are counted where they are found and only a spanning forest is stored; components follow from it.
+are counted where they are found and only a spanning forest is stored; components follow from it. The
+number of passes grows with the number of vectors (``passes_for``), so isolated pairs near the threshold are met at
+every size. How far a block has come is kept in tables, joined by pass and block.
 
 Cosines are computed in double precision. Vectors alike in every component are one class, so copies
 are neither compared nor expanded into pairs.
@@ -12,6 +14,7 @@ are neither compared nor expanded into pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm.common import join_hot, materialize, table
+from strandline.llm.common import discard, join_hot, materialize, table
 from strandline.llm.components import connected_components
 
 COSINE = 0.95
-PASSES, HASHES, WINDOW, SEED = 12, 8, 64, 20240
-#: Width of a quantisation step for projections of unit vectors, in units of their usual spread.
-STEP = 1.0
+#: Least number of passes, hashes of a key, vectors of a block.
+PASSES, HASHES, WINDOW, SEED = 12, 64, 64, 20240
+#: Share of isolated pairs at the threshold that the passes are to meet.
+RECALL = 0.97
 BLOCK = 512
 #: Blocks of ``window`` vectors in a tile, the unit that is compared in one group.
 TILE = 64
@@ -38,12 +42,22 @@ def _directions(seed: int, n: int, dims: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n, dims))
 
 
-def keys(unit: np.ndarray, seed: int, n_hashes: int = HASHES, step: float = STEP) -> np.ndarray:
-    """The sort key of each unit vector: n_hashes quantised projections, one byte each, most significant first."""
-    rng = np.random.default_rng((seed, 1))
-    projected = unit @ _directions(seed, n_hashes, unit.shape[1]).T / step + rng.random(n_hashes)
-    steps = np.clip(np.floor(projected) + 128, 0, 255).astype(np.uint64)
-    return (steps << np.arange(8 * (n_hashes - 1), -1, -8, dtype=np.uint64)).sum(1, dtype=np.uint64)
+def passes_for(n: int, threshold: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
+    """So many passes let an isolated pair at the threshold share its blocks in one of them with probability ``recall``.
+
+    A hash parts such a pair with probability angle / pi and halves the vectors beside it. About
+    log2(n / (1.5 window)) hashes must agree before a block and its neighbour hold all that are left, so a
+    pass meets the pair with probability (1.5 window / n) ** rho, rho = -log2(1 - angle / pi), 0.154 at 0.95.
+    """
+    rho = -math.log2(1 - math.acos(threshold) / math.pi)
+    met = min(1.0, 1.5 * window / max(n, 1)) ** rho
+    return max(PASSES, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else PASSES
+
+
+def keys(unit: np.ndarray, seed: int) -> np.ndarray:
+    """The sort key of each unit vector: the signs of HASHES projections, a bit each, the first most significant."""
+    signs = unit @ _directions(seed, HASHES, unit.shape[1]).T > 0
+    return np.packbits(signs, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
@@ -132,16 +146,17 @@ def _placed(classes: DataFrame, passes: int, window: int) -> tuple[DataFrame, di
     return materialize(classes.select("class_id", "size", vector.alias("vector")).join(places, "class_id")), blocks
 
 
-def _compared(blocks: dict[int, tuple[int, int]], done: np.ndarray, active: np.ndarray, at: int, threshold: float, window: int, pairs: bool):
+def _compared(blocks: dict[int, tuple[int, int]], at: int, threshold: float, window: int, pairs: bool):
     """Compares the active blocks of tile ``i_tile`` in pass ``pass`` with those of tile ``j_tile`` that lie in the reach of round ``at``.
 
+    ``state`` has, for each pass, twice the rounds that the row's block has behind it, plus 1 if it is active now.
+
     Rows (kind, x, y, z): 0, a class and the vectors linked to it; 1, a pair of linked classes (all, or a
     spanning forest); 2, a pass, a block that goes on and the last block of its length. Every pair of
     classes counts in the first comparison only that covers it, by rounds, then passes; where that was
     follows from the places of both.
     """
     lo, hi = int(REACH[at]), int(REACH[at + 1])
-    after = np.where(active, at + 1, done)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -150,14 +165,17 @@ def _compared(blocks: dict[int, tuple[int, int]], done: np.ndarray, active: np.n
         order = np.argsort(places[:, p])
         places = places[order]
         unit = _unit(_matrix(group.column("vector").chunk(0))[order])
+        state = _matrix(group.column("state").chunk(0), np.int64)[order] if at else np.ones_like(places)
+        done, active = state // 2, state % 2
+        after = done + active
         ids, sizes = (group.column(c).to_numpy()[order] for c in ("class_id", "size"))
         mine, of = places[:, p], places // window
         last = blocks[unit.shape[1]][1]
         counts, label, found, further = np.zeros(len(ids), np.int64), np.arange(len(ids)), [], []
         for i in np.unique(of[:, p]):
-            if i // TILE != i_tile or not active[p, i]:
-                continue
             s, e = np.searchsorted(mine, (i * window, (i + 1) * window))
+            if i // TILE != i_tile or not active[s, p]:
+                continue
             js, je = np.searchsorted(mine, (max(i + lo, j_tile * TILE) * window, min(i + hi, (j_tile + 1) * TILE) * window))
             a, b = np.empty(0, np.int64), np.empty(0, np.int64)
             outer = False
@@ -167,11 +185,12 @@ def _compared(blocks: dict[int, tuple[int, int]], done: np.ndarray, active: np.n
                 gap = mine[v] - mine[u]
                 u, v = u[gap > 0], v[gap > 0]
                 outer |= bool((gap > (0 if at else window // 2)).any())
-                for q in range(len(done)):
+                for q in range(places.shape[1]):
                     if q == p or (q > p and not at) or not len(u):
                         continue
                     m, n = of[u, q], of[v, q]
-                    new = np.abs(m - n) >= REACH[(after if q < p else done)[q, np.minimum(m, n)]]
+                    rounds = (after if q < p else done)[np.where(m <= n, u, v), q]
+                    new = np.abs(m - n) >= REACH[rounds]
                     u, v = u[new], v[new]
                 a, b = np.concatenate([a, u]), np.concatenate([b, v])
             if outer and i + hi <= last:
@@ -194,20 +213,37 @@ def _compared(blocks: dict[int, tuple[int, int]], done: np.ndarray, active: np.n
     return run
 
 
-def _rounds(classes: DataFrame, threshold: float, passes: int, window: int, pairs: bool) -> DataFrame | None:
+def _with_state(rows: DataFrame, history: list[DataFrame]) -> DataFrame:
+    """``rows`` with ``state`` (see ``_compared``).
+
+    history: the blocks (pass, i) that went on to round 1, 2 and so on, the last to the one that begins;
+    all blocks have round 0 behind them. Only classes of ``rows`` are looked up.
+    """
+    went = None
+    for k, go in enumerate(history):
+        now = k + 1 == len(history)
+        one = go.select("pass", F.col("i").alias("block"), F.lit(2 * (k + 1) + 1 if now else 2 * (k + 2)).cast("long").alias("s"))
+        went = one if went is None else went.unionByName(one)
+    own = rows.select("class_id", "blocks").distinct().select("class_id", F.posexplode("blocks").alias("pass", "block"))
+    own = own.join(went.groupBy("pass", "block").agg(F.max("s").alias("s")), ["pass", "block"], "left")
+    states = own.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", F.coalesce("s", F.lit(2).cast("long")).alias("s")))), lambda x: x["s"]).alias("state"))  # one per pass
+    return rows.drop("blocks").join(states, "class_id")
+
+
+def _rounds(classes: DataFrame, threshold: float, passes: int | None, window: int, pairs: bool) -> DataFrame | None:
     """The rows of ``_compared`` of all rounds, null without classes.
 
     Round 0 compares every block with itself and the next one; a block that found links in the outer half
     of what it saw looks twice as far in the next round, over any number of tiles and partitions.
     """
+    passes = passes or passes_for(classes.count(), threshold, window)
     placed, blocks = _placed(classes, passes, window)
     if not blocks:
         return None
     spark, found, at = classes.sparkSession, None, 0
-    done = np.zeros((passes, max(last for _, last in blocks.values()) + 1), np.uint8)
-    active = np.ones_like(done, bool)
     ranges = spark.createDataFrame(list(blocks.values()), "first long, last long")
     go = ranges.select(F.explode(F.sequence("first", "last")).alias("i"), "last").select(F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"), "i", "last")
+    history: list[DataFrame] = []
     while True:
         lo, hi = int(REACH[at]), int(REACH[at + 1])
         end = F.least(F.col("i") + hi - 1, "last")
@@ -215,19 +251,22 @@ def _rounds(classes: DataFrame, threshold: float, passes: int, window: int, pair
         others = tiles.select("pass", F.explode(F.expr(f"sequence(greatest(i + {lo}, j_tile * {TILE}), least(end, j_tile * {TILE} + {TILE - 1}))")).alias("block"), "i_tile", "j_tile")
         needed = tiles.select("pass", F.col("i").alias("block"), "i_tile", "j_tile").unionByName(others).distinct()
         each = placed.select("class_id", "size", "vector", "places", F.posexplode("places").alias("pass", "place")).withColumn("block", F.expr(f"place div {window}")).drop("place")
-        groups = each.join(needed, ["pass", "block"]).drop("block").groupBy("pass", "i_tile", "j_tile")
-        one = materialize(groups.applyInArrow(_compared(blocks, done, active, at, threshold, window, pairs), "kind int, x long, y long, z long"))
+        rows = each.join(needed, ["pass", "block"]).drop("block")
+        if at:
+            rows = _with_state(rows.withColumn("blocks", F.transform("places", lambda x: F.floor(x / window))), history)
+        one = materialize(rows.groupBy("pass", "i_tile", "j_tile").applyInArrow(_compared(blocks, at, threshold, window, pairs), "kind int, x long, y long, z long"))
         found = one if found is None else found.unionByName(one)
-        go = one.where("kind = 2").select(F.col("x").cast("int").alias("pass"), F.col("y").alias("i"), F.col("z").alias("last")).distinct()
-        further = [(r["pass"], r["i"]) for r in go.select("pass", "i").collect()]  # one small row per block that goes on
-        if not further:
+        go = materialize(one.where("kind = 2").select(F.col("x").cast("int").alias("pass"), F.col("y").alias("i"), F.col("z").alias("last")).distinct())
+        if go.isEmpty():
+            for t in (placed, go, *history):
+                discard(t)
             return found
-        done, active, at = np.where(active, at + 1, done).astype(np.uint8), np.zeros_like(active), at + 1
-        active[tuple(np.array(further).T)] = True
+        history.append(go)
+        at += 1
 
 
-def class_links(classes: DataFrame, threshold: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Distinct links (a, b) between classes, each named by its smallest id, a <= b, from all passes.
+def class_links(classes: DataFrame, threshold: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """For tests: all distinct links (a, b) between classes, each named by its smallest id, a <= b, from all passes.
 
     Vectors of different lengths never link.
     """
@@ -239,7 +278,7 @@ def class_links(classes: DataFrame, threshold: float = COSINE, passes: int = PAS
     return named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = COSINE, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = COSINE, passes: int | None = None, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (vec_id = component_id).
 
     ``n_links`` counts the other vectors linked directly, copies included. Vectors without a class

@@ -116,3 +116,39 @@ def test_dense_group_over_many_partitions(spark):
     assert sum(n.values()) > 0.99 * 800 * 799
     assert 0.99 * sum(n.values()) <= sum(r.n_links for r in got.values()) <= sum(n.values())
     assert all((got[i].component_id == 0) == (i < 800) for i, _ in rows)
+
+
+def isolated(n, pairs, cosine=0.951, dims=64, seed=9):
+    """n random unit vectors; the first ``pairs`` have a partner at the cosine, the ids of both are 2k and 2k + 1."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a = x[: 2 * pairs : 2]
+    o = rng.standard_normal(a.shape)
+    o -= (o * a).sum(1, keepdims=True) * a
+    x[1 : 2 * pairs : 2] = cosine * a + np.sqrt(1 - cosine**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    return x.astype(np.float32)
+
+
+def test_passes_grow_so_that_isolated_pairs_are_met():
+    """The share of pairs whose blocks ever meet, from the operator's own keys and blocks; larger tables are in the README."""
+    grown = [embedding_dedup.passes_for(n) for n in (10**3, 10**5, 10**6, 4 * 10**6, 10**9)]
+    assert grown == sorted(grown) and grown[0] == embedding_dedup.PASSES and grown[-1] < 60
+    x = isolated(300_000, 1500)
+    met = np.zeros(1500, bool)
+    for p in range(embedding_dedup.passes_for(len(x))):
+        place = np.empty(len(x), np.int64)
+        place[np.argsort(embedding_dedup.keys(x, embedding_dedup.SEED + p), kind="stable")] = np.arange(len(x))
+        met |= np.abs(place[:3000:2] // embedding_dedup.WINDOW - place[1:3000:2] // embedding_dedup.WINDOW) <= 1
+    assert met.mean() >= 0.95
+
+
+def test_isolated_pairs_in_a_large_table(spark):
+    import pyarrow as pa
+
+    x = isolated(200_000, 1000)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64, dtype=np.int32)), pa.array(x.ravel()))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": lists})).repartition(16)
+    got = embedding_dedup.near_duplicates(df).where("n_links > 0").collect()
+    linked = {r.vec_id for r in got}
+    assert linked <= set(range(2000)) and len(linked) >= 0.95 * 2000 and {r.n_links for r in got} == {1}
