@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,15 +56,16 @@ def signal_row_count(signal: DataFrame) -> DataFrame:
 def chunk_batches(signal: DataFrame, rows_per_batch: int, order: Sequence[str] = ("read_id", "chunk_idx")) -> DataFrame:
     """Signal rows with the batch and the row in it where a file of batches of ``rows_per_batch`` holds them, in ``order``.
 
-    Rows are numbered by prefix sums over coarse ranges of the first order column, and a window inside each range.
+    Rows are spread by ranges of ``order``, so ids of any kind will do, and stay cached, so that a row keeps its
+    partition; a prefix sum over the partitions' totals and a window inside each partition number them.
     """
-    first = order[0]
-    ranged = signal.withColumn("_range", F.expr(f"cast({first} as bigint) div 4096"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    numbered = ranged.withColumn("_i", inside).join(bases, "_range").withColumn("_row", F.col("_base") + F.col("_i"))
-    return numbered.withColumns({"batch": F.expr(f"_row div {rows_per_batch}"), "row": F.col("_row") % rows_per_batch}).drop("_range", "_base", "_i", "_row")
+    ranged = signal.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    # One row per partition: their number bounds this window and the broadcast.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    numbered = ranged.withColumn("_i", inside).join(F.broadcast(bases), "_part").withColumn("_row", F.col("_base") + F.col("_i"))
+    return numbered.withColumns({"batch": F.expr(f"_row div {rows_per_batch}"), "row": F.col("_row") % rows_per_batch}).drop("_part", "_base", "_i", "_row")
 
 
 def dictionary_values(reads: DataFrame, columns: Sequence[str]) -> DataFrame:

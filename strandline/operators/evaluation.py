@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.summary import running_totals
@@ -63,3 +63,13 @@ def boundary_differences(pairs: DataFrame) -> DataFrame:
 def ovo_votes(decisions: DataFrame) -> DataFrame:
     """Votes per class from pairwise decisions (id, i, j, decision): above 0 for i, else for j."""
     return decisions.groupBy("id", F.when(F.col("decision") > 0, F.col("i")).otherwise(F.col("j")).alias("label")).agg(F.count("*").alias("votes"))
+
+
+def array_votes(scores: Column) -> Column:
+    """Array of (label, votes) of the classes with a vote, from one array of class scores; labels count from 1.
+
+    The decision of a pair is the difference of its scores: above 0 it votes for the first, else for the second.
+    """
+    wins = lambda v, p: F.size(F.filter(scores, lambda w, j: ((j > p) & (v > w)) | ((j < p) & (w <= v))))
+    each = F.transform(scores, lambda v, p: F.struct((p + 1).cast("long").alias("label"), wins(v, p).cast("long").alias("votes")))
+    return F.filter(each, lambda e: e["votes"] > 0)

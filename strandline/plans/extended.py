@@ -409,11 +409,12 @@ def dictionary_values(spark, sf):
     return L.dictionary_values(relation(spark, sf, "reads"), ["end_reason", "pore_type"])
 
 
-@query("select read_id, case when batch_idx > 0 then read_id end as found from (select read_id, batch_idx from <reads>) where false")
+@query("select r.read_id, t.read_id as found from <reads> r left join <reads> t on t.source_file = r.source_file and t.batch_idx = r.batch_idx and t.row_idx = r.row_idx + 4 where r.read_id % 97 = 0")
 def index_check(spark, sf):
-    """An index that fits its reads has no wrong row."""
+    """An index with every 97th read four rows off: these rows are found, with the read that is there, if any."""
     reads = relation(spark, sf, "reads")
-    return L.verify_index(L.build_index(reads), reads)
+    off = F.when(F.col("read_id") % 97 == 0, 4).otherwise(0)
+    return L.verify_index(L.build_index(reads.withColumn("row_idx", F.col("row_idx") + off)), reads)
 
 
 @query("select read_id, ord, num_samples from <alignments> join <reads> using (read_id)")

@@ -17,6 +17,7 @@ from strandline.operators import refinement as N
 from strandline.operators import relations as R
 from strandline.operators import segmentation as G
 from strandline.operators import summary as M
+from strandline.operators import support_vectors as V
 from strandline.plans.bindings import relation, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,9 +343,10 @@ def nearest_reference_rbf(spark, sf):
     vectors = _vectors(spark, sf)
     cells = vectors.select(F.col("label").alias("ref"), F.posexplode("x").alias("p", "v")).groupBy("ref", "p").agg(F.avg("v").alias("m"))
     bank = cells.groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda c: c["m"]).alias("y"))  # a row per class
-    scored = vectors.join(F.broadcast(bank)).select("id", "ref", A.l2(F.col("x"), F.col("y")).alias("d"))
-    best = scored.groupBy("id").agg(F.min(F.struct("d", "ref")).alias("b"))
-    return _rounded(best.select("id", F.col("b.ref").alias("best"), F.col("b.d").alias("distance"), A.rbf(F.col("b.d"), 0.5).alias("kernel")), 5)
+    scored = V.distances_to(vectors, bank.select(F.col("ref").cast("long").alias("support_id"), F.col("y").alias("x")), window=0)  # no warping
+    best = scored.groupBy("id").agg(F.min(F.struct("distance", "support_id")).alias("b"))
+    near = best.select("id", F.col("b.support_id").cast("int").alias("best"), F.col("b.distance").alias("distance"))
+    return _rounded(near.withColumn("kernel", A.rbf(F.col("distance"), 0.5)), 5)
 
 
 @query(f"""select id, label, sum(case when d > 0 then 1 else 0 end) as votes from (select a.id, a.p as label, a.v - b.v as d from {_CELLS} a join {_CELLS} b on a.id = b.id and a.p <> b.p where a.p <= 5 and b.p <= 5) where d > 0 or (d = 0) group by id, label having votes > 0""")
@@ -610,10 +612,7 @@ def theil_sen_slope_whole(spark, sf):
 
 @query(f"select id, label, count(*) as votes from (select a.id, case when a.v > b.v then a.p else b.p end as label from {_CELLS} a join {_CELLS} b on a.id = b.id and a.p < b.p) group by id, label")
 def one_vs_one_votes_whole(spark, sf):
-    cells = _vectors(spark, sf).select("id", F.posexplode("x").alias("p", "v")).withColumn("p", (F.col("p") + 1).cast("long"))
-    other = cells.select("id", F.col("p").alias("j"), F.col("v").alias("w"))
-    pairs = cells.join(other, "id").where("p < j").select("id", F.col("p").alias("i"), "j", (F.col("v") - F.col("w")).alias("decision"))
-    return E.ovo_votes(pairs)
+    return _vectors(spark, sf).select("id", F.inline(E.array_votes(F.col("x"))))
 
 
 @query(f"select id, case when m >= 0.02 then c else -1 end as call from (select id, max(q) - max(case when r = 2 then q end) as m, max(case when r = 1 then p end) - 1 as c from (select id, p, q, row_number() over (partition by id order by q desc, p desc) as r from (select id, p, exp(v) / sum(exp(v)) over (partition by id) as q from {_CELLS})) group by id)")
