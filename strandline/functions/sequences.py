@@ -76,3 +76,17 @@ def least_pairwise_distance(references: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def dominant_base(table: DataFrame, k: int) -> DataFrame:
+    """One row (position, h): the place in the k-mer whose base orders the levels most (Kruskal and Wallis), the first of equals.
+
+    table: (kmer, level), 4^k rows at most, so one window ranks them; equal levels by k-mer.
+    """
+    placed = table.select("kmer", F.row_number().over(Window.orderBy("level", "kmer")).alias("r"))
+    bases = placed.select("r", F.posexplode(F.split("kmer", "")).alias("position", "base")).where(F.col("position") < k)
+    n = F.sum("c").over(Window.partitionBy("position")).cast("double")
+    summed = bases.groupBy("position", "base").agg(F.count("*").alias("c"), F.sum("r").cast("double").alias("s"))
+    parts = summed.select("position", n.alias("n"), (F.col("s") * F.col("s") / F.col("c")).alias("part"))
+    tests = parts.groupBy("position").agg((12.0 / (F.first("n") * (F.first("n") + 1)) * F.sum("part") - 3.0 * (F.first("n") + 1)).alias("h"))
+    return tests.agg(F.min_by("position", F.struct(-F.round("h", 9), "position")).alias("position"), F.max("h").alias("h"))

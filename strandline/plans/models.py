@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions import rescaling as S
+from strandline.functions import sequences as Q
 from strandline.operators import anchoring as N
 from strandline.operators import batches as B
 from strandline.operators import calls as C
@@ -275,3 +277,60 @@ def moving_band_alignment(spark, sf):
     guess = F.sequence(F.lit(0).cast("long"), F.lit(64).cast("long"), F.lit(8).cast("long"))
     levels = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(F.slice("x", i * 8 + 1, 8), F.lit(0.0), lambda a, v: a + v.cast("double")) / 8)
     return B.align_moving_band(relation(spark, sf, "vectors").select("id", "x", levels.alias("levels"), guess.alias("boundaries")), 24)
+
+
+# --- scaling -------------------------------------------------------------------------------------
+
+#: Sixteen bases over each vector, with dwells that vary, and a level for each.
+_CUTS = [0, 3, 8, 12, 15, 20, 24, 29, 32, 36, 41, 44, 49, 53, 57, 60, 64]
+_BASES = f"(select unnest(range(0, 16)) as i, unnest({_CUTS[:-1]}) as a, unnest({_CUTS[1:]}) as b)"
+
+
+def _scaled_input(spark, sf):
+    x = F.transform("x", lambda v: v.cast("double"))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: ((i * 7 + F.col("id")) % 16).cast("double") / 8 - 1)
+    bounds = F.array(*[F.lit(c).cast("long") for c in _CUTS])
+    now = F.struct(F.lit(0.05).alias("shift"), F.lit(1.25).alias("scale"), F.lit(0.001).alias("drift"))
+    return relation(spark, sf, "vectors").select("id", x.alias("x"), levels.alias("levels"), bounds.alias("bounds"), now.alias("now"))
+
+
+_POINTS = f"""with p as (
+  select id, (avg(v) - 0.05 - 0.001 * any_value(a + b) / 2) / 1.25 as x, any_value(a + b) / 2 as t, any_value((i * 7 + id) % 16) / 8 - 1 as y from {_CELLS} c join {_BASES} s on c.p > a and c.p <= b
+  where i >= 1 and i < 15 and b - a > 3 and b - a < 5 and abs((i * 7 + id) % 16 / 8 - 1 - (-0.0625)) > 0.2 group by id, i
+), f as (
+  select id, count(*) as n, avg(x) as mx, avg(t) as mt, avg(y) as my, var_pop(x) as xx, var_pop(t) as tt, covar_pop(x, t) as xt, covar_pop(x, y) as xy, covar_pop(t, y) as ty from p group by id
+)"""
+
+
+@query(f"""{_POINTS}, s as (select id, n, (xy * tt - ty * xt) / (xx * tt - xt * xt) as b, (ty * xx - xy * xt) / (xx * tt - xt * xt) as c, mx, mt, my from f)
+  select id, case when n < 3 then null when b >= 0.01 then round(0.05 - (my - b * mx - c * mt) * 1.25 / b, 5) else 0.05 end as shift,
+  case when n < 3 then null when b >= 0.01 then round(1.25 / b, 5) else 1.25 end as scale, case when n < 3 then null when b >= 0.01 then round(0.001 - c * 1.25 / b, 5) else 0.001 end as drift from s""")
+def rescaled(spark, sf):
+    """Scale, shift and drift by bases whose dwell and level are fit for it."""
+    made = _scaled_input(spark, sf).select("id", S.rescale(F.col("x"), F.col("bounds"), F.col("levels"), F.col("now"), 0.1, 0.95, 0.2, 1, 3).alias("s"))
+    return _rounded(made.select("id", "s.shift", "s.scale", "s.drift"), 5)
+
+
+_QUANTILES = [0.1, 0.3, 0.5, 0.7, 0.9]
+
+
+@query(f"""with m as (select id, i, (v - 0.05) / 1.25 as x, (i * 7 + id) % 16 / 8 - 1 as y from {_CELLS} c join {_BASES} s on c.p = (a + b) // 2 + 1 where i >= 2 and i < 14),
+  q as (select id, unnest(quantile_cont(x, {_QUANTILES})) as x, unnest(quantile_cont(y, {_QUANTILES})) as y from m group by id),
+  f as (select id, regr_slope(y, x) as b, regr_intercept(y, x) as a from q group by id)
+  select id, case when b >= 0.01 then round(0.05 - a * 1.25 / b, 5) else 0.05 end as shift, case when b >= 0.01 then round(1.25 / b, 5) else 1.25 end as scale from f""")
+def rough_rescaled(spark, sf):
+    made = _scaled_input(spark, sf).select("id", S.rough_rescale(F.col("x"), F.col("bounds"), F.col("levels"), F.col("now"), _QUANTILES, clip=2).alias("s"))
+    return _rounded(made.select("id", "s.shift", "s.scale"), 5)
+
+
+#: A level for each 3-mer of the letters of hashed ids: the mean of what the parts with it cost.
+_KMERS = "select substr(translate(substr(md5(cast(p_partkey as {text})), 1, 3), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 3) as kmer, round(avg(p_retailprice), 6) as level from part group by 1"
+
+
+@query(f"""with r as (select kmer, row_number() over (order by level, kmer) as r from ({_KMERS.format(text="varchar")})), b as (
+  select i as position, substr(kmer, i + 1, 1) as base, r from r, (select unnest([0, 1, 2]) as i)), s as (select position, base, count(*) as c, sum(r) as s from b group by all),
+  h as (select position, 12.0 / (sum(c) * (sum(c) + 1)) * sum(s * s / c) - 3.0 * (sum(c) + 1) as h from s group by position)
+  select cast(arg_min(position, [-round(h, 9), position]) as int) as position, round(max(h), 6) as h from h""")
+def dominant_base(spark, sf):
+    table = spark.sql(_KMERS.format(text="string").replace("from part", "from {p}"), p=spark.read.parquet(f"{sf}/part.parquet"))
+    return _rounded(Q.dominant_base(table, 3))
