@@ -248,3 +248,20 @@ def hours_text(samples: Column, rate: Column) -> Column:
 def compact_text(n: Column) -> Column:
     """1.2M, 500K, or the number itself below 1000."""
     return F.when(n >= 1_000_000, F.format_string("%.1fM", F.bround(n / 1e6, 1))).when(n >= 1000, F.format_string("%.0fK", F.bround(n / 1e3, 0))).otherwise(n.cast("string"))
+
+
+# --- windows and slopes ---
+
+
+def signal_window(x: Column, anchor: int, left: int, right: int, mask_before: int = 0) -> Column:
+    """Samples [anchor - left, anchor + right), with NaN past the ends and before ``mask_before``; null if no sample is left."""
+    places = F.sequence(F.lit(anchor - left), F.lit(anchor + right - 1))
+    there = lambda k: (k >= max(mask_before, 0)) & (k < F.size(x))
+    made = F.transform(places, lambda k: F.when(there(k), F.get(x, k).cast("double")).otherwise(F.lit(float("nan"))))
+    return F.when((F.size(x) > max(anchor - left, mask_before, 0)) & (anchor + right > max(mask_before, 0)), made)
+
+
+def median_slope(y: Column) -> Column:
+    """Median of the slopes of all pairs of a series with steps of 1 (Theil and Sen); 1 for fewer than two values."""
+    later = lambda a, i: F.transform(F.slice(y, i + 2, F.greatest(F.size(y) - i - 1, F.lit(0))), lambda b, k: (b - a).cast("double") / (k + 1))
+    return F.when(F.size(y) > 1, A.median(F.flatten(F.transform(y, later)))).otherwise(1.0)

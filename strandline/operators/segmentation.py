@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions import arrays as A
+
 
 def windowed_ttest(samples: DataFrame, width: int) -> DataFrame:
     """(id, i, score): difference of the means of two neighbouring windows over the root of their summed squares; 0 where these vanish. i runs over whole windows only."""
@@ -96,3 +98,38 @@ def early_stopped_gains(samples: DataFrame, least: int, trim: int, window: int,
     failed = (place >= window) & (place % check == 0) & (F.avg("step").over(back) < 0)
     ended = steps.withColumn("stop", F.min(F.when(failed, F.col("i"))).over(whole))
     return ended.where("stop is null or i < stop").select("id", "i", "gain")
+
+
+def change_points(samples: DataFrame, width: int, count: int, separation: int) -> DataFrame:
+    """(id, cuts): up to ``count`` best maxima of the t-test scores of each signal, none nearer than ``separation`` to a better one, in order.
+
+    Scores and maxima are set operations; only a signal's maxima meet in its row, where they are taken
+    greedily, of equal scores the first. A signal without a maximum has no cuts.
+    """
+    peaks = local_maxima(windowed_ttest(samples, width).select("id", "i", F.col("score").alias("v")))
+    ranked = peaks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), F.col("i").cast("long").alias("i")))).alias("ranked"))
+    fits = lambda taken, p: (F.size(taken) < count) & ~F.exists(taken, lambda a: F.abs(a - p["i"]) < separation)
+    none = F.array().cast("array<bigint>")
+    taken = F.aggregate("ranked", none, lambda taken, p: F.when(fits(taken, p), F.concat(taken, F.array(p["i"]))).otherwise(taken))
+    found = ranked.select("id", F.array_sort(F.transform(taken, lambda i: i + width)).alias("cuts"))
+    return samples.select("id").distinct().join(found, "id", "left").withColumn("cuts", F.coalesce("cuts", none))
+
+
+def fingerprints(signals: DataFrame, n_segments: int, width: int, separation: int | None = None, keep: int | None = None) -> DataFrame:
+    """(id, values): means of the segments of the MAD-normalised signal (id, x), the last ``keep``; null if there are fewer.
+
+    The scores do not change with the signal's scale, so the cuts are those of the signal as it is.
+    """
+    samples = signals.select("id", F.posexplode("x").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    cuts = change_points(samples, width, n_segments - 1, width if separation is None else separation)
+    scaled = signals.select("id", F.col("x").cast("array<double>").alias("x")).join(cuts, "id")
+    edges = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts"), F.array(F.size("x").cast("long")))
+    x, wanted = F.col("x"), keep or n_segments
+
+    def means(m):
+        spread = F.when(m["d"] > 0, m["d"]).otherwise(1.0)
+        part = lambda e, k: (A.mean(F.slice(x, (e + 1).cast("int"), (F.get("_edges", k + 1) - e).cast("int"))) - m["m"]) / spread
+        return F.transform(F.slice("_edges", 1, F.size("_edges") - 1), part)
+
+    made = scaled.withColumn("_edges", edges).withColumn("_all", A.bound(F.struct(A.median(x).alias("m"), A.mad(x).alias("d")), means))
+    return made.select("id", F.when(F.size("_all") >= wanted, F.slice("_all", -wanted, wanted)).alias("values"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
+from strandline.functions import preparation as P
 from strandline.functions import sequences as S
 from strandline.operators import batches as B
 from strandline.operators import demux as D
@@ -322,8 +323,7 @@ def least_squares_fit(spark, sf):
 
 @query(f"select id, round(median((b.v - a.v) / (b.p - a.p)), 6) as slope from {_CELLS} a join {_CELLS} b using (id) where a.p < b.p and b.p <= 24 group by id")
 def theil_sen_slope(spark, sf):
-    fit = K.column(lambda y: K.theil_sen(range(1, 25), y[:24]), "struct<slope:double,intercept:double>")
-    return _rounded(_vectors(spark, sf).select("id", fit("x").alias("f")).select("id", "f.slope"))
+    return _rounded(_vectors(spark, sf).select("id", P.median_slope(F.slice("x", 1, 24)).alias("slope")))
 
 
 _CONSENSUS = f"select label as barcode, p - 1 as position, median(v) as consensus, count(*) as n from {_CELLS} group by label, p"
@@ -485,14 +485,30 @@ def reservoir_per_label(spark, sf):
     return M.reservoir(_vectors(spark, sf), "label", "id", 10).select("id", "label")
 
 
-@query()
+_CUTS = f"""with t as (
+  select id, p - 1 as i, avg(v) over a as m1, avg(v) over b as m2, sum(v * v) over a as q1, sum(v * v) over b as q2 from {_CELLS}
+  window a as (partition by id order by p rows between current row and 3 following), b as (partition by id order by p rows between 4 following and 7 following)
+), sc as (
+  select id, i, case when q1 - 4 * m1 * m1 + q2 - 4 * m2 * m2 > 1e-9 then abs(m1 - m2) / sqrt(q1 - 4 * m1 * m1 + q2 - 4 * m2 * m2) else 0 end as s from t where i < 56
+), peaks as (
+  select id, list(i order by s desc, i) as ps from (select *, lag(s) over w as a, lead(s) over w as b from sc window w as (partition by id order by i)) where s > a and s > b group by id
+), cut as (
+  select id, list_sort(list_transform(list_reduce(list_transform(ps, lambda p: [p]), lambda acc, p: case when len(acc) < {{count}} and len(list_filter(acc, lambda a: abs(a - p[1]) < 4)) = 0 then list_concat(acc, p) else acc end), lambda p: p + 4)) as cuts from peaks
+)"""
+
+
+@query(_CUTS.format(count=6) + "select id, array_to_string(cuts, ',') as cuts from cut")
 def change_points(spark, sf):
-    return _vectors(spark, sf).select("id", K.column(lambda x: K.change_points(x, 4, 6, 4), "array<bigint>")("x").alias("cuts"))
+    samples = _vectors(spark, sf).select("id", F.posexplode("x").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    return G.change_points(samples, 4, 6, 4).select("id", F.array_join("cuts", ",").alias("cuts"))
 
 
-@query()
+@query(_CUTS.format(count=4) + f""", parts as (
+  select id, k, avg((v - m) / d) as y from (select id, p, v, len(list_filter(cuts, lambda c: c < p)) as k from {_CELLS} join cut using (id)) join (select id, median(v) as m, mad(v) as d from {_CELLS} group by id) using (id) group by id, k
+) select id, label, cast(k + 1 as bigint) as p, round(y, 6) as y from parts join <vectors> using (id) where id in (select id from parts where k = 4)""")
 def fingerprints(spark, sf):
-    return _vectors(spark, sf).select("id", "label", K.column(lambda x: K.fingerprint(x, 5, 4), "array<double>")("x").alias("values"))
+    made = G.fingerprints(_vectors(spark, sf), 5, 4).join(_vectors(spark, sf).select("id", "label"), "id").where("values is not null")
+    return _rounded(made.select("id", "label", F.posexplode("values").alias("p", "y")).withColumn("p", (F.col("p") + 1).cast("long")))
 
 
 @query()
@@ -533,13 +549,12 @@ def kernel_classify(spark, sf):
     return _vectors(spark, sf).select("id", calls("x").alias("c")).select("id", "c.*")
 
 
-@query()
+@query(f"""with raw as (select id, (p - 1) % 3 as k, sum(case when v <= 0 then 0.5 else -0.5 end) as r from {_CELLS} where p <= 12 group by id, (p - 1) % 3)
+  select id, cast(k + 1 as bigint) as p, round(exp(r) / sum(exp(r)) over (partition by id), 6) as y from raw""")
 def tree_ensemble(spark, sf):
-    import numpy as np
-
     stump = lambda f, t, c, s: {"feature": [f, -1, -1], "threshold": [t, 0, 0], "left": [1, 0, 0], "right": [2, 0, 0], "value": [0, s, -s], "missing_left": [True] * 3, "class": c}
-    trees = [stump(f, 0.0, f % 3, 0.5) for f in range(12)]
-    return _vectors(spark, sf).select("id", K.column(lambda x: K.tree_ensemble(x, trees, np.zeros(3)).tolist(), "array<double>")("x").alias("p"))
+    forest = [stump(f, 0.0, f % 3, 0.5) for f in range(12)]
+    return _exploded(_vectors(spark, sf).select("id", P.trees(F.col("x"), forest, [0.0] * 3).alias("y")))
 
 
 @query()
@@ -586,13 +601,12 @@ def reference_scores(spark, sf):
 
 @query(f"select id, p, round((v - m) / d, 6) as y from {_CELLS} join (select id, avg(v) as m, stddev_pop(v) as d from {_CELLS} group by id) using (id)")
 def folded_features(spark, sf):
-    fold = K.column(lambda x: N.fold_features(x, 1)["x"], "array<double>")
-    return _exploded(_vectors(spark, sf).select("id", fold("x").alias("y")))
+    return _exploded(_vectors(spark, sf).select("id", P.normalise_fingerprint(F.col("x"), "z_score").alias("y")))
 
 
 @query(f"select id, list(v order by p) as w from {_CELLS} where p > 10 and p <= 20 group by id")
 def signal_windows(spark, sf):
-    return _vectors(spark, sf).select("id", K.column(lambda x: N.signal_window(x, 15, 5, 5), "array<double>")("x").alias("w"))
+    return _vectors(spark, sf).select("id", P.signal_window(F.col("x"), 15, 5, 5).alias("w"))
 
 
 @query(f"select id, case when m >= 0.02 then c else -1 end as call from (select id, max(q) - max(case when r = 2 then q end) as m, max(case when r = 1 then p end) - 1 as c from (select id, p, q, row_number() over (partition by id order by q desc, p desc) as r from (select id, p, exp(v) / sum(exp(v)) over (partition by id) as q from {_CELLS} where p <= 8)) group by id)")
@@ -606,8 +620,7 @@ def gated_calls(spark, sf):
 
 @query(f"select id, round(median((b.v - a.v) / (b.p - a.p)), 6) as slope from {_CELLS} a join {_CELLS} b using (id) where a.p < b.p group by id")
 def theil_sen_slope_whole(spark, sf):
-    fit = K.column(lambda y: K.theil_sen(range(1, len(y) + 1), y), "struct<slope:double,intercept:double>")
-    return _rounded(_vectors(spark, sf).select("id", fit("x").alias("f")).select("id", "f.slope"))
+    return _rounded(_vectors(spark, sf).select("id", P.median_slope(F.col("x")).alias("slope")))
 
 
 @query(f"select id, label, count(*) as votes from (select a.id, case when a.v > b.v then a.p else b.p end as label from {_CELLS} a join {_CELLS} b on a.id = b.id and a.p < b.p) group by id, label")
