@@ -47,6 +47,8 @@ def with_relations(sql: str) -> str:
     parts = [f"b_{n} as ({RELATIONS[n].format(**{t: t for t in TABLES})})" for n in named]
     for n in named:
         sql = sql.replace(f"<{n}>", f"b_{n}")
+    if sql.startswith("with recursive "):
+        return f"with recursive {', '.join(parts)}, {sql.removeprefix('with recursive ')}" if parts else sql
     if sql.startswith("with "):  # a query's own tables come after the relations
         return f"with {', '.join(parts)}, {sql.removeprefix('with ')}" if parts else sql
     return f"with {', '.join(parts)} {sql}" if parts else sql

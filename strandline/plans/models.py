@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions import arrays as A
 from strandline.functions import rescaling as S
 from strandline.functions import sequences as Q
 from strandline.operators import anchoring as N
@@ -237,17 +238,19 @@ def region_hits(spark, sf):
     return hits.groupBy("region_id").agg(F.count("*").alias("n"), F.min("read_id").alias("first_read"), F.sum("ord").alias("ords"))
 
 
-#: Sequences of twelve letters from the digits of a hash.
-_LETTERS = "translate(substr(md5(cast({key} as {text})), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+#: A panel of 24 letters for each supplier, from the digits of a hash, and reads of it with up to three letters cut and two put in.
+_LETTERS = "translate(substr(md5(cast({key} as {text})), 1, 24), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_PANEL = f"select s_suppkey as name, {_LETTERS.format(key='-s_suppkey', text='{text}')} as ref_sequence from {{supplier}}"
+_EDITED = f"""select o_orderkey as id, concat(substr(ref_sequence, 1, cast(o_orderkey % 20 as int)), substr({_LETTERS.format(key="o_orderkey", text="{text}")}, 1, cast(o_orderkey % 3 as int)), substr(ref_sequence, cast(o_orderkey % 20 + o_custkey % 4 + 1 as int))) as sequence
+  from {{orders}} join ({_PANEL}) p on p.name = o_custkey % 10 + 1"""
 
 
-@query(f"""select id, name, cast(levenshtein(sequence, ref_sequence) as int) as distance from (select o_orderkey as id, {_LETTERS.format(key="o_orderkey", text="varchar")} as sequence from orders),
-  (select s_suppkey as name, {_LETTERS.format(key="-s_suppkey", text="varchar")} as ref_sequence from supplier) where levenshtein(sequence, ref_sequence) <= 3""")
+@query(f"""select id, name, cast(levenshtein(sequence, ref_sequence) as int) as distance from ({_EDITED.format(text="varchar", orders="orders", supplier="supplier")}) q,
+  ({_PANEL.format(text="varchar", supplier="supplier")}) r where levenshtein(sequence, ref_sequence) <= 3""")
 def within_edit_distance(spark, sf):
     orders, suppliers = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "supplier"))
-    queries = orders.select(F.col("o_orderkey").alias("id"), F.expr(_LETTERS.format(key="o_orderkey", text="string")).alias("sequence"))
-    panel = suppliers.select(F.col("s_suppkey").alias("name"), F.expr(_LETTERS.format(key="-s_suppkey", text="string")).alias("ref_sequence"))
-    return H.within_distance(queries, panel, 3)
+    queries = spark.sql(_EDITED.format(text="string", orders="{o}", supplier="{s}"), o=orders, s=suppliers)
+    return H.within_distance(queries, spark.sql(_PANEL.format(text="string", supplier="{s}"), s=suppliers), 3)
 
 
 _STOPPED = """with sums as (
@@ -334,3 +337,27 @@ _KMERS = "select substr(translate(substr(md5(cast(p_partkey as {text})), 1, 3),
 def dominant_base(spark, sf):
     table = spark.sql(_KMERS.format(text="string").replace("from part", "from {p}"), p=spark.read.parquet(f"{sf}/part.parquet"))
     return _rounded(Q.dominant_base(table, 3))
+
+
+# --- warping -------------------------------------------------------------------------------------
+
+_POOLED = f"(select id, label, (p - 1) // 4 as j, avg(v) as v from {_CELLS} group by all)"
+
+
+@query(f"""with recursive q as (select id, list(v order by j) as x from {_POOLED} group by id), b as (
+  select ref, list(m order by j) as y from (select label as ref, j, avg(v) as m from {_POOLED} group by label, j) group by ref
+), d(id, ref, i, r) as (
+  select id, ref, 0, list_concat([0.0::double], list_transform(range(0, 16), lambda k: 'inf'::double)) from q, b
+  union all
+  select id, ref, i + 1, list_reduce(list_concat([['inf'::double]], list_transform(range(1, 17), lambda k: [k::double])), lambda acc, j: list_append(acc,
+    case when abs(i + 1 - j[1]) <= 4 then pow(y[j[1]::int] - x[i + 1], 2) + least(r[j[1]::int], least(r[j[1]::int + 1], acc[len(acc)]) + 0.01) else 'inf'::double end))
+  from d join q using (id) join b using (ref) where i < 16
+)
+select id, cast(ref as bigint) as ref, round(sqrt(r[17]), 5) as distance from d where i = 16""")
+def warping_distances(spark, sf):
+    """Every vector, pooled by four, against its classes' means, in a window of four places and with a penalty off the diagonal."""
+    pooled = relation(spark, sf, "vectors").select("id", "label", A.mean_pool(F.transform("x", lambda v: v.cast("double")), 4).alias("x"))
+    cells = pooled.select(F.col("label").alias("ref"), F.posexplode("x").alias("j", "v")).groupBy("ref", "j").agg(F.avg("v").alias("m"))
+    bank = cells.groupBy(F.col("ref").cast("long").alias("support_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda c: c["m"]).alias("x"))
+    found = V.distances_to(pooled.select("id", "x"), bank, window=4, penalty=0.1)
+    return _rounded(found.select("id", F.col("support_id").alias("ref"), "distance"), 5)
