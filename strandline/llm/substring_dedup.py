@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import discard, documents, materialize, table
+from strandline.llm.common import discard, documents, join_hot, materialize, table
 
 WINDOW = 50
 #: Words of a run that may anchor a window.
@@ -274,8 +274,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct(found: DataFrame) -> DataFrame:
-    """Each different region once, for the smallest document that holds it."""
-    return found.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "key", "start")).alias("owner"), F.max("doc_id").alias("most"), F.first("n").alias("n"))
+    """Each different region once, for the smallest document that holds it, with its number of copies."""
+    return found.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "key", "start")).alias("owner"), F.max("doc_id").alias("most"), F.first("n").alias("n"), F.count("*").alias("copies"))
 
 
 def _counted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +311,15 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     by_key = wanted.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "content", "start", "n", "most")).alias("wanted"))
     cut = docs.join(by_key, (docs["__key"] == by_key.key) & (docs["__id"] == by_key.doc_id)).select("__text", "wanted", "doc_id").mapInArrow(_cut, "anchor long, content long, doc_id long, most long, words binary")
     runs = materialize(cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "anchor long, content long, a int, b int, least long").distinct())
+    # A region that very many documents share is one row here and, being hot, joined by broadcast.
+    region = F.struct("anchor", "content").alias("region")
+    repeats = runs.groupBy(region).agg(F.collect_list(F.struct("a", "b", "least")).alias("repeats"))
+    sized = materialize(repeats.join(distinct.select(region, "copies"), "region"))
+    total = distinct.agg(F.sum("copies")).first()[0] or 0
     discard(distinct)
-    hits = found.join(runs, ["anchor", "content"]).where("least < doc_id")
+    discard(runs)
+    met = join_hot(found.select("key", "doc_id", "start", region), sized, "region", "copies", total)
+    hits = met.select("key", "doc_id", "start", F.inline("repeats")).where("least < doc_id")
     return hits.groupBy("key", "doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
 
 

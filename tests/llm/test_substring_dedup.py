@@ -97,3 +97,12 @@ def test_index_equals_counting():
     tree = sd.WaveletMatrix(values, 37)
     at, symbol = rng.integers(0, 501, 300), rng.integers(0, 37, 300)
     assert tree.rank(symbol, at).tolist() == [int((values[:i] == c).sum()) for c, i in zip(symbol, at)]
+
+
+def test_one_region_in_half_of_many_documents(spark):
+    """Hot regions go by broadcast, so no task gathers them; the others by shuffle. Both find every copy."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    twice = " ".join(f"q{i}" for i in range(55))
+    rows = [(i, f"a{i} b{i} {passage} c{i}" if i % 2 else f"a{i} only{i} {twice if i in (100, 2000) else ''}") for i in range(10_000)]
+    got = {r.doc_id: r.n_removed for r in sd.remove_repeats(helpers.docs(spark, rows)).select("doc_id", "n_removed").collect()}
+    assert got == {i: 70 if i % 2 and i > 1 else 55 if i == 2000 else 0 for i in range(10_000)}
