@@ -7,6 +7,10 @@ Expectation-maximisation over that table estimates how reliable each labeler is
 expected labels then train a logistic span classifier over the same patterns. Base spans always
 stay; other candidates are added where the classifier is sure enough.
 
+Beyond the base patterns and secrets, four wider forms propose candidates of the base kinds: addresses
+written out ("name (at) host (dot) org"), IPv6 addresses, cards with other separators, and phone
+numbers without "+". Nothing of these is a base span, so the labelers and the classifier alone decide.
+
 The texts are read twice (counting, then labelling), each time in one narrow stage.
 """
 
@@ -19,12 +23,19 @@ from pyspark.sql import functions as F
 from strandline.llm.common import documents, table
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
+#: Forms that candidates come in, with the kind each reports; the first five are the kinds' own patterns.
+FORMS = {
+    "email": "email", "ip": "ip", "card": "card", "phone": "phone", "secret": "secret",
+    "email_written": "email", "ip_v6": "ip", "card_separated": "card", "phone_national": "phone",
+}
+#: Digits in groups are common in clean text, so these are added only behind a word that speaks for them.
+NEEDS_CONTEXT = ("card_separated", "phone_national")
 #: Spans that are no base matches are added from this probability.
 THRESHOLD = 0.7
 LABELERS = ["shape", "validity", "gazetteer", "context"]
 ABSTAIN, YES, NO = 0, 1, 2
 LENGTH_CLASSES = 4
-N_PATTERNS = len(KINDS) * 3 ** len(LABELERS) * LENGTH_CLASSES
+N_PATTERNS = len(FORMS) * 3 ** len(LABELERS) * LENGTH_CLASSES
 
 #: Each starts only where a run starts (or the last match ended) and never gives back, so a search is linear.
 PATTERNS = {
@@ -33,7 +44,13 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])(?=[0-9_/+=-]*+[A-Za-z])[A-Za-z0-9_/+=-]{20,}+",
+    "email_written": r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*+(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)[a-z0-9-]++(?:(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)[a-z0-9-]++)++",
+    "ip_v6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*+:[0-9A-Fa-f]*+:)[0-9A-Fa-f:]++(?![0-9A-Za-z])",
+    "card_separated": r"(?<![0-9][\x20._/-]{0,3})[0-9](?:[\x20._/-]{0,3}+[0-9]){11,}+",
+    "phone_national": r"(?<![0-9A-Za-z+().,_/-])(?<![0-9)][\x20])\(?[0-9](?:\)?[\x20./-]?\(?[0-9]){6,}+",
 }
+#: A text without this has no match, so its pattern is not searched.
+NEEDED_TEXT = {"email": "@", "phone": "+", "ip_v6": ":"}
 TOP_DOMAINS = "com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|it|nl|ch|at|be|us|ca|au|jp|cn|in|br|ru"
 COUNTRY_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 PRIVATE_NETWORKS = r"^(0|10|127|169\.254|192\.168|172\.(1[6-9]|2[0-9]|3[01])|2[3-5][0-9])\."
@@ -55,7 +72,7 @@ WORDS_AGAINST = {
 
 
 def _votes(kind: str, m: Column, before: Column) -> list[Column]:
-    """Votes of the four labelers on the text ``m`` with ``before`` in front of it."""
+    """Votes of the four labelers on the text ``m``, of a form ``kind``, with ``before`` in front of it."""
 
     def vote(yes: Column, no: Column | None = None) -> Column:
         no = ~yes if no is None else no
@@ -63,7 +80,23 @@ def _votes(kind: str, m: Column, before: Column) -> list[Column]:
 
     digits = F.regexp_replace(m, "[^0-9]", "")
     never = F.lit(False)
-    if kind == "email":
+    if kind == "email_written":
+        shape = vote(m.rlike(r"(?i)[\[({]\x20?at\x20?[\])}]"), ~m.rlike(r"(?i)[\[({\x20]dot[\])}\x20]"))
+        valid = vote(F.length(m) <= 254)
+        listed = vote(F.lower(m).rlike(rf"[^a-z0-9-]({TOP_DOMAINS})$"))
+    elif kind == "ip_v6":
+        shape = vote(_groups(m) >= 3, _groups(m) < 2)
+        valid = vote(_is_v6(m))
+        listed = vote(m.rlike("^[23][0-9A-Fa-f]{3}:"), m.rlike("(?i)^(fe[89ab][0-9a-f]|f[cd][0-9a-f]{2}|):"))
+    elif kind == "card_separated":
+        shape = vote(m.rlike(r"^[0-9]{4}([ ._/-]{1,3})[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$|^[0-9]{4}([ ._/-]{1,3})[0-9]{6}\2[0-9]{5}$"))
+        valid = vote(_luhn(m) & ~m.rlike("^[0-9]([ -]?[0-9])+$"))
+        listed = vote(digits.rlike("^[3-6]"))
+    elif kind == "phone_national":
+        shape = vote(m.rlike(r"^(\([0-9]{2,5}\)|[0-9]{2,5})([ ./-]?[0-9]{2,8}){1,5}$") & m.rlike("[^0-9]"))
+        valid = vote(F.length(digits).between(7, 15) & ~_luhn(m) & ~(m.rlike(r"^[0-9]+(\.[0-9]+){3}$") & _octets_fit(m)))
+        listed = vote(digits.rlike("^0[1-9]|^00[1-9]"), m.rlike(r"^(19|20)[0-9]{2}[./-][01]?[0-9][./-]|^[0-3]?[0-9][./-][01]?[0-9][./-](19|20)[0-9]{2}"))
+    elif kind == "email":
         shape = vote(m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"))
         valid = vote(~m.contains("..") & (F.length(m) <= 254))
         listed = vote(F.lower(m).rlike(rf"\.({TOP_DOMAINS})$"), never)
@@ -83,7 +116,21 @@ def _votes(kind: str, m: Column, before: Column) -> list[Column]:
         shape = vote(m.rlike("^([0-9a-f]{32,}|[0-9A-F]{32,}|[0-9A-Za-z_-]{24,})$"))
         valid = vote(F.length(digits) * 6 >= F.length(m), F.length(digits) * 20 < F.length(m))
         listed = vote(m.rlike(KEY_PREFIXES), never)
-    return [shape, valid, listed, vote(before.rlike(rf"(?i)({WORDS_FOR[kind]})\W*$"), before.rlike(rf"(?i)({WORDS_AGAINST[kind]})\W*$"))]
+    named = before.rlike(rf"(?i)({WORDS_FOR[FORMS[kind]]})\W*$")
+    if kind in NEEDS_CONTEXT:
+        return [shape, valid, listed, vote(named)]
+    return [shape, valid, listed, vote(named, before.rlike(rf"(?i)({WORDS_AGAINST[FORMS[kind]]})\W*$"))]
+
+
+def _groups(m: Column) -> Column:
+    return F.size(F.array_remove(F.split(m, ":", -1), ""))
+
+
+def _is_v6(m: Column) -> Column:
+    """Eight groups of at most four hexadecimal digits, or fewer with one double colon."""
+    short = m.contains("::")
+    fits = (~short & (_groups(m) == 8)) | (short & (F.size(F.split(m, "::", -1)) == 2) & _groups(m).between(1, 7))
+    return fits & ~m.rlike("[0-9A-Fa-f]{5}|:::|^:[^:]|[^:]:$")
 
 
 def _octets_fit(m: Column) -> Column:
@@ -118,12 +165,12 @@ def _length_class(m: Column) -> Column:
 
 
 def _found(kind: str, text: Column) -> Column:
-    """Spans of a kind: array of struct(start, kind, end, base, pattern), in code points, end exclusive."""
-    number, pattern = KINDS.index(kind), F.lit(PATTERNS[kind])
+    """Spans of a form: array of struct(start, kind, end, base, pattern), in code points, end exclusive."""
+    number, pattern, reported = list(FORMS).index(kind), F.lit(PATTERNS[kind]), KINDS.index(FORMS[kind])
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,pattern:int>>")
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    if kind in ("email", "phone"):
-        matches = F.when(text.contains("@" if kind == "email" else "+"), matches).otherwise(F.array().cast("array<string>"))
+    if kind in NEEDED_TEXT:
+        matches = F.when(text.contains(NEEDED_TEXT[kind]), matches).otherwise(F.array().cast("array<string>"))
 
     def add(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
@@ -132,7 +179,7 @@ def _found(kind: str, text: Column) -> Column:
         for v in _votes(kind, pair["m"], F.right(pair["gap"], F.lit(40))):
             code = code * 3 + v
         span = F.struct(
-            start.cast("int").alias("start"), F.lit(number).alias("kind"), end.cast("int").alias("end"),
+            start.cast("int").alias("start"), F.lit(reported).alias("kind"), end.cast("int").alias("end"),
             _is_base(kind, pair["m"]).alias("base"), (code * LENGTH_CLASSES + _length_class(pair["m"])).cast("int").alias("pattern"),
         )
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
@@ -146,11 +193,11 @@ def _found(kind: str, text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, by start, then kind as listed; a null text has none."""
     text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[_found(k, text) for k in KINDS]))
+    return F.array_sort(F.concat(*[_found(k, text) for k in FORMS]))
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, votes and length class of each pattern number."""
+    """Form, votes and length class of each pattern number."""
     rest = np.arange(N_PATTERNS)
     rest, length = rest // LENGTH_CLASSES, rest % LENGTH_CLASSES
     votes = []
@@ -161,7 +208,7 @@ def _factors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def expectation_maximisation(counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Expected label of each pattern and P(vote | kind, labeler, label), from pattern counts alone.
+    """Expected label of each pattern and P(vote | form, labeler, label), from pattern counts alone.
 
     Starts from the majority of votes; Dirichlet smoothing keeps every probability above 0, and the
     pseudo-counts favour labelers that agree with the label, so labels can't swap.
@@ -170,10 +217,10 @@ def expectation_maximisation(counts: np.ndarray, rounds: int = 200) -> tuple[np.
     yes, no = (votes == YES).sum(1), (votes == NO).sum(1)
     label = (1 + yes) / (2 + yes + no)
     lean = np.array([[2.0, 1.0, 3.0], [2.0, 3.0, 1.0]])  # pseudo-counts by label and vote
-    reliability = np.zeros((len(KINDS), len(LABELERS), 2, 3))
+    reliability = np.zeros((len(FORMS), len(LABELERS), 2, 3))
     for _ in range(rounds):
-        prior = np.array([(1 + (counts * label)[kind == k].sum()) / (2 + counts[kind == k].sum()) for k in range(len(KINDS))])
-        for k in range(len(KINDS)):
+        prior = np.array([(1 + (counts * label)[kind == k].sum()) / (2 + counts[kind == k].sum()) for k in range(len(FORMS))])
+        for k in range(len(FORMS)):
             for j in range(len(LABELERS)):
                 for v in range(3):
                     at = (kind == k) & (votes[:, j] == v)
@@ -191,11 +238,11 @@ def expectation_maximisation(counts: np.ndarray, rounds: int = 200) -> tuple[np.
 
 
 def fit_span_classifier(counts: np.ndarray, label: np.ndarray, rounds: int = 60, penalty: float = 0.3) -> np.ndarray:
-    """Probability of each pattern by a logistic model over kind, kind x vote and length class, fitted on expected labels."""
+    """Probability of each pattern by a logistic model over form, form x vote and length class, fitted on expected labels."""
     kind, votes, length = _factors()
-    columns = [np.eye(len(KINDS))[kind], np.eye(LENGTH_CLASSES)[length]]
+    columns = [np.eye(len(FORMS))[kind], np.eye(LENGTH_CLASSES)[length]]
     for j in range(len(LABELERS)):
-        cell = np.zeros((N_PATTERNS, len(KINDS) * 2))
+        cell = np.zeros((N_PATTERNS, len(FORMS) * 2))
         cell[np.arange(N_PATTERNS), kind * 2 + np.maximum(votes[:, j] - 1, 0)] = votes[:, j] > 0
         columns.append(cell)
     x, seen = np.hstack(columns), counts > 0
@@ -225,9 +272,14 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
 
 
 def spans(text: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
-    """Base spans and added spans of a text, by start, then kind. A span that fails its validity check is never added."""
-    valid = _factors()[1][:, LABELERS.index("validity")] != NO
-    chosen = F.array(*[F.lit(bool(p >= threshold and v)) for p, v in zip(model, valid)])
+    """Base spans and added spans of a text, by start, then kind.
+
+    A span that fails its validity check is never added, nor one of the forms in NEEDS_CONTEXT without its word.
+    """
+    form, votes, _ = _factors()
+    fits = votes[:, LABELERS.index("validity")] != NO
+    fits &= ~np.isin(form, [list(FORMS).index(f) for f in NEEDS_CONTEXT]) | (votes[:, LABELERS.index("context")] == YES)
+    chosen = F.array(*[F.lit(bool(p >= threshold and v)) for p, v in zip(model, fits)])
     return F.filter(candidates(text), lambda s: s["base"] | F.get(chosen, s["pattern"]))
 
 

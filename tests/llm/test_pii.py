@@ -1,6 +1,7 @@
 """Personal data: base spans against plain Python, the weak supervision, redaction."""
 
 import hashlib
+import ipaddress
 import random
 import re
 from collections import Counter
@@ -108,3 +109,75 @@ def test_redaction(spark):
     assert out == {1: "é mail [email], or [phone] ok [card]. token = \"[secret]\" end", 2: None, 3: "", 4: "clean"}
     assert pii.redact(df, model).columns == df.columns
     assert pii.find(df.limit(0), pii.train(df.limit(0))).count() == 0
+
+WIDER = {
+    "email_written": r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*(?: ?[\[({] ?at ?[\])}] ?| at )[a-z0-9-]+(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[a-z0-9-]+)+",
+    "ip_v6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]+(?![0-9A-Za-z:])",
+    "card_separated": r"[0-9](?:[ ._/-]{0,3}[0-9]){11,}",
+    "phone_national": r"(?<![0-9A-Za-z+().,_/-])(?<![0-9)] )\(?[0-9](?:\)?[ ./-]?\(?[0-9]){6,}",
+}
+
+
+def plain_wider(text):
+    """Wider spans with a valid form and, for numbers, the word before them, as (kind, start, end); found without the operator."""
+    out = []
+    for form, pattern in WIDER.items():
+        for m in re.finditer(pattern, text):
+            before, digits = text[max(0, m.start() - 40) : m.start()], re.sub("[^0-9]", "", m.group())
+            if form == "ip_v6":
+                try:
+                    ipaddress.IPv6Address(m.group())
+                except ValueError:
+                    continue
+            if form == "card_separated" and not (12 <= len(digits) <= 19 and luhn(digits) and re.search(r"[._/]|  ", m.group()) and re.search(r"(?i)(card|visa|payment)\W*$", before)):
+                continue
+            if form == "phone_national" and not (7 <= len(digits) <= 15 and not (len(digits) >= 12 and luhn(digits)) and re.search(r"(?i)(phone|tel\b|call|fax)\W*$", before)):
+                continue
+            out.append((form.split("_")[0], m.start(), m.end()))
+    return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+
+
+def wider_rows():
+    rng = random.Random(5)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        while True:
+            d = rng.choice("3456") + num(15)
+            if luhn(d):
+                return d
+
+    rows = []
+    for i in range(240):
+        d, sep = card(), rng.choice([".", " / ", "  ", "_"])
+        split = sep.join(d[k : k + 4] for k in range(0, 16, 4))
+        v6 = ":".join(f"{rng.randrange(0x1000, 0x10000):x}" for _ in range(7))
+        made = [
+            f"write {rng.choice(['ann', 'bo.li', 'c-d'])} {rng.choice(['(at)', '[at]', '{ at }'])} host{i} {rng.choice(['(dot)', '[dot]'])} org today",
+            f"address 2{num(3)}:{v6} ok",
+            f"server 2001:db8::{rng.randrange(1, 65000):x} ok",
+            f"visa: {split} paid",
+            f"tel. (0{num(2)}) 55{num(1)}-{num(4)}.",
+            f"Phone 0{num(3)} {num(3)} {num(3)}, thanks",
+        ]
+        clean = [f"at {rng.randrange(10, 24)}:{rng.randrange(10, 60)}:{rng.randrange(10, 60)} we left", f"order {num(4)} {num(4)} items", f"on {rng.randrange(10, 28)}.0{rng.randrange(1, 9)}.2024 it rained", f"about {num(8)} rows", "look at the house", f"isbn {split}"]
+        rows.append((i, " é ".join(rng.sample(made, 2) + rng.sample(clean, 3))))
+    return rows
+
+
+def test_wider_forms_are_decided_by_the_classifier(spark):
+    """Added spans of every kind, recomputed without the operator; clean numbers, times and dates are left alone."""
+    rows = wider_rows()
+    df = helpers.docs(spark, rows + [(9000, None), (9001, "")])
+    model = pii.train(df)
+    got = {r.doc_id: [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans if not s.base] for r in pii.find(df, model).collect()}
+    assert got.pop(9000) == got.pop(9001) == []
+    assert got == {i: plain_wider(t) for i, t in rows}
+    assert {k for found in got.values() for k, *_ in found} == {"email", "ip", "card", "phone"}
+    never = {r.doc_id: r.spans for r in pii.find(df, [0.0] * pii.N_PATTERNS).collect()}
+    assert all(s.base for found in never.values() for s in found)  # the classifier, not the pattern, adds them
+
+
+def test_wider_patterns_are_linear(spark):
+    rows = [(1, "1 ." * 40000), (2, "a at b" * 30000), (3, "a:" * 60000), (4, "(1)" * 50000), (5, "a (at) b" + ".c" * 40000), (6, ("1" * 11 + "   ") * 9000)]
+    assert pii.find(helpers.docs(spark, rows), [1.0] * pii.N_PATTERNS).count() == 6
