@@ -11,7 +11,8 @@ Beyond the base patterns and secrets, four wider forms propose candidates of the
 written out ("name (at) host (dot) org"), IPv6 addresses, cards with other separators, and phone
 numbers without "+". Nothing of these is a base span, so the labelers and the classifier alone decide.
 
-The texts are read twice (counting, then labelling), each time in one narrow stage.
+``train_and_find`` reads the texts once and stores the candidates between counting and labelling;
+``train`` and ``redact`` read them twice, each time in one narrow stage.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import documents, table
+from strandline.llm.common import documents, materialize, table
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 #: Forms that candidates come in, with the kind each reports; the first five are the kinds' own patterns.
@@ -263,7 +264,12 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
 
     Null and empty texts have no candidates; an empty table leaves the classifier at its prior.
     """
-    found = docs.select(F.explode(candidates(F.col(text_col))["pattern"]).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    return _fit(docs.select(candidates(F.col(f"`{text_col}`")).alias("found")))
+
+
+def _fit(stored: DataFrame) -> list[float]:
+    """The classifier from the candidates in ``found``."""
+    found = stored.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
     counts = np.zeros(N_PATTERNS)
     for r in found.collect():
         counts[r.pattern] = r.n
@@ -276,11 +282,15 @@ def spans(text: Column, model: list[float], threshold: float = THRESHOLD) -> Col
 
     A span that fails its validity check is never added, nor one of the forms in NEEDS_CONTEXT without its word.
     """
+    return _chosen(candidates(text), model, threshold)
+
+
+def _chosen(found: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
     form, votes, _ = _factors()
     fits = votes[:, LABELERS.index("validity")] != NO
     fits &= ~np.isin(form, [list(FORMS).index(f) for f in NEEDS_CONTEXT]) | (votes[:, LABELERS.index("context")] == YES)
     chosen = F.array(*[F.lit(bool(p >= threshold and v)) for p, v in zip(model, fits)])
-    return F.filter(candidates(text), lambda s: s["base"] | F.get(chosen, s["pattern"]))
+    return F.filter(found, lambda s: s["base"] | F.get(chosen, s["pattern"]))
 
 
 def find(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,6 +301,15 @@ def find(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, id_c
     return documents(docs, id_col, text_col).select("doc_id", spans(F.col("text"), model, threshold).alias("spans"))
 
 
+def train_and_find(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``find`` gives with the classifier trained on the same documents.
+
+    The texts are read once: their candidates, a few numbers each, are stored between counting and labelling.
+    """
+    stored = materialize(documents(docs, id_col, text_col).select("doc_id", candidates(F.col("text")).alias("found")))
+    return stored.select("doc_id", _chosen(F.col("found"), _fit(stored), threshold).alias("spans"))
+
+
 def redact(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
 
@@ -329,7 +348,7 @@ def _count(kind: int) -> Column:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = find(docs, train(docs)).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    found = train_and_find(docs).withColumn("base", F.filter("spans", lambda s: s["base"]))
     return found.select(
         "doc_id",
         *[_count(k).alias(f"n_{KINDS[k]}") for k in range(4)],

@@ -181,3 +181,11 @@ def test_wider_forms_are_decided_by_the_classifier(spark):
 def test_wider_patterns_are_linear(spark):
     rows = [(1, "1 ." * 40000), (2, "a at b" * 30000), (3, "a:" * 60000), (4, "(1)" * 50000), (5, "a (at) b" + ".c" * 40000), (6, ("1" * 11 + "   ") * 9000)]
     assert pii.find(helpers.docs(spark, rows), [1.0] * pii.N_PATTERNS).count() == 6
+
+
+def test_stored_candidates_give_the_same_spans(spark):
+    rows = helpers.awkward() + wider_rows()[:60] + [(7, "mail a@b.co"), (7, "mail a@b.co")]
+    df = helpers.clashing(spark, rows)
+    plain = lambda found: Counter((r.doc_id, tuple(r.spans)) for r in found.collect())
+    assert plain(pii.train_and_find(df)) == plain(pii.find(df, pii.train(df)))
+    assert pii.train_and_find(df.limit(0)).count() == 0
