@@ -15,6 +15,8 @@ from strandline.functions import arrays as A
 SHORT = 10
 #: Value that short windows are filled with, and that replaces non-finite values.
 PAD = -5.0
+#: Samples that must precede a lattice model's window.
+LATTICE_MARGIN = 200
 #: Window of raw samples, and pooling factor, of the boundary model's input.
 WINDOW_START, WINDOW_END, POOL = 1000, 16000, 10
 
@@ -98,6 +100,24 @@ def calibrate_standardise(adc: Column, offset: Column, scale: Column, centre: fl
     return F.transform(adc, lambda v: (v * scale + offset * scale - centre) / spread)
 
 
+def lattice_window_start(n: Column, end: Column, width: int, margin: int = LATTICE_MARGIN, most_shift: int = 0) -> Column:
+    """First of the ``width`` samples that a lattice model reads before ``end``, in a signal of ``n`` samples; null where it must not be read.
+
+    An end needs ``margin`` samples more than the width before it. An end before the width is, where
+    ``most_shift`` allows it, read from sample 0 on, which lets at most so many samples behind the end
+    in. No end (null or 0), one past the signal, and a signal shorter than the width give null.
+    """
+    whole = F.when(end >= width + margin, end - width)
+    clamped = F.when((end > 0) & (end < width) & (n >= width) & (F.lit(width) - end <= most_shift), F.lit(0))
+    return F.when(end <= n, F.coalesce(whole, clamped))
+
+
+def lattice_input(adc: Column, end: Column, offset: Column, scale: Column, centre: float, spread: float, width: int, margin: int = LATTICE_MARGIN, most_shift: int = 0) -> Column:
+    """The window before ``end``, calibrated and standardised; only its samples are calibrated. Null without a window or signal."""
+    start = lattice_window_start(F.size(adc), end, width, margin, most_shift)
+    return F.when(start.isNotNull(), calibrate_standardise(F.slice(adc, F.coalesce(start, F.lit(0)).cast("int") + 1, F.lit(width)), offset, scale, centre, spread))
+
+
 def feature_vector(values: Column, dwells: Column, weight: float) -> Column:
     """All values, then all dwells times ``weight``."""
     return F.concat(values, F.transform(dwells, lambda d: d * weight))

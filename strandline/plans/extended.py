@@ -83,6 +83,15 @@ def calibrate_standardise(spark, sf):
     return _exploded(_vectors(spark, sf).select("id", P.calibrate_standardise(F.col("x"), F.col("label"), F.lit(0.15), 0.3, 2.5).alias("y")))
 
 
+@query(f"""select id, p - s as p, round(((v + label) * 0.15 - 0.3) / 2.5, 6) as y from {_CELLS} join (
+    select id, case when e > 64 or e = 0 then null when e >= 20 then e - 16 when e >= 16 then null when 16 - e <= 8 then 0 end as s
+    from (select id, list_position(x, list_max(x)) - 1 + label as e from <vectors>)) using (id) where p > s and p <= s + 16""")
+def lattice_input(spark, sf):
+    """Windows of 16 samples before the place of the largest, moved on by the label, with a margin of 4 and a shift of at most 8."""
+    end = F.array_position("x", F.array_max("x")) - 1 + F.col("label")
+    return _exploded(_vectors(spark, sf).select("id", P.lattice_input(F.col("x"), end, F.col("label"), F.lit(0.15), 0.3, 2.5, 16, 4, 8).alias("y")))
+
+
 @query(f"select id, p + k as p, round(case when k = 0 then v else abs(v) * 12 end, 6) as y from {_CELLS}, (select unnest([0, 64]) as k)")
 def feature_vectors(spark, sf):
     return _exploded(_vectors(spark, sf).select("id", P.feature_vector(F.col("x"), F.transform("x", lambda v: F.abs(v)), 12.0).alias("y")))

@@ -256,3 +256,26 @@ def test_sinks(spark, tmp_path):
         sinks.check_output(out, [out])
     with pytest.raises(FileExistsError):
         sinks.check_output(out, [])
+
+
+@pytest.mark.parametrize(
+    "n, end, margin, shift, start",
+    [
+        (100, 60, 10, 0, 40), (100, 30, 10, 0, 10), (100, 29, 10, 0, None), (100, 29, 10, 20, None), (100, 20, 0, 0, 0),  # behind the margin or refused by it
+        (100, 15, 10, 0, None), (100, 15, 10, 4, None), (100, 15, 10, 5, 0), (20, 1, 10, 19, 0), (19, 15, 10, 5, None),  # moved to the start, as far as allowed
+        (100, 0, 10, 20, None), (100, None, 10, 20, None), (100, 101, 10, 20, None), (100, 100, 10, 0, 80), (0, 0, 0, 20, None),  # no end, an end past the signal
+    ],
+)
+def test_lattice_window(spark, n, end, margin, shift, start):
+    df = spark.createDataFrame([([float(i) for i in range(n)], end)], "x array<double>, e int")
+    got = df.select(
+        P.lattice_window_start(F.size("x"), F.col("e"), 20, margin, shift).alias("start"),
+        P.lattice_input(F.col("x"), F.col("e"), F.lit(2.0), F.lit(0.5), 3.0, 4.0, 20, margin, shift).alias("y"),
+    ).first()
+    assert got.start == start
+    assert got.y == (None if start is None else [((i + 2.0) * 0.5 - 3.0) / 4.0 for i in range(start, start + 20)])
+
+
+def test_lattice_window_without_a_signal(spark):
+    df = spark.createDataFrame([(None, 5)], "x array<double>, e int")
+    assert df.select(P.lattice_input(F.col("x"), F.col("e"), F.lit(0.0), F.lit(1.0), 0.0, 1.0, 3).alias("y")).first().y is None
