@@ -74,13 +74,14 @@ def signal_map(moves: Column, stride: Column, trim: Column, ns: Column) -> Colum
     return F.concat(starts, F.array(ns.cast("long")))
 
 
-def anchor_reads(alignments: DataFrame, geometry: DataFrame, offsets: list[int], least_mapq: int = 0) -> DataFrame:
-    """One row per alignment with its anchors, or the reason (``skip``) why it has none.
+def anchor_reads(alignments: DataFrame, geometry: DataFrame, offsets: list[int], least_mapq: int = 0, whole: bool = True) -> DataFrame:
+    """One row per alignment with its anchors, or the reason (``skip``) why it has none; not ``whole``: only those without a reason.
 
     alignments: read_id, reference, mapped, reverse, secondary, supplementary, mapq, start, ops, moves,
     stride, ts, ns (moves or ns null: no move table; ts null: 0); other columns stay. geometry: reference
     (once each) with GEOMETRY. Reasons in the order of the tests: filtered, low_mapq, no_geometry, no_tags,
-    unanchored, query_out_of_range, bad_name (a null id).
+    unanchored, query_out_of_range, bad_name (a null id). Reads gather on few references, so the
+    geometry is broadcast and no read moves.
 
     Added: seq_to_sig, nb, q_junction, q_cca_a, q_div_m1, q_body_mid, q_polya_mid (nearest base within
     SLOP, the last three null where there is none) and qf, for each offset from the junction the base
@@ -92,8 +93,15 @@ def anchor_reads(alignments: DataFrame, geometry: DataFrame, offsets: list[int],
     at_offsets = F.array(*[junction + o for o in offsets]).cast("array<bigint>")
     wanted = F.concat(F.array(*marks.values()), at_offsets)
     runs = aligned_runs(F.col("ops"), F.col("start"), F.array_min(wanted) - SLOP, F.array_max(wanted) + SLOP)
+    early = (
+        F.when(~F.col("mapped") | F.col("reverse") | F.col("secondary") | F.col("supplementary"), "filtered")
+        .when(F.coalesce("mapq", F.lit(255)) < least_mapq, "low_mapq")
+        .when(junction.isNull(), "no_geometry")
+        .when(F.col("moves").isNull() | F.col("ns").isNull() | F.col("stride").isNull(), "no_tags")
+    )
+    joined = alignments.join(F.broadcast(named), "reference", "left")
     # Bound, or the runs would be made anew for each position.
-    found = alignments.join(named, "reference", "left").withColumns(
+    found = (joined if whole else joined.where(early.isNull())).withColumns(
         {
             "_near": A.bound(runs, lambda found: F.transform(wanted, lambda r: nearest_base(found, r, barrier))),
             "seq_to_sig": signal_map(F.col("moves"), F.col("stride"), F.coalesce("ts", F.lit(0)), F.col("ns")),
@@ -104,15 +112,14 @@ def anchor_reads(alignments: DataFrame, geometry: DataFrame, offsets: list[int],
     nb = F.size("seq_to_sig") - 1
     outside = F.array_max(F.transform("_near", lambda x: within(x))) >= nb
     skip = (
-        F.when(~F.col("mapped") | F.col("reverse") | F.col("secondary") | F.col("supplementary"), "filtered")
-        .when(F.coalesce("mapq", F.lit(255)) < least_mapq, "low_mapq")
-        .when(junction.isNull(), "no_geometry")
-        .when(F.col("moves").isNull() | F.col("ns").isNull() | F.col("stride").isNull(), "no_tags")
-        .when(F.col("q_junction").isNull() | F.col("q_cca_a").isNull(), "unanchored")
+        early.when(F.col("q_junction").isNull() | F.col("q_cca_a").isNull(), "unanchored")
         .when(outside, "query_out_of_range")
         .when(F.col("read_id").isNull(), "bad_name")
     )
-    return found.withColumns({"nb": nb.cast("long"), "skip": skip}).drop("_near", *[f"_{c}" for c in GEOMETRY])
+    # Always true, but not deterministic: else a test of skip would move below the anchors and make them anew for each of its terms.
+    kept = F.when(F.monotonically_increasing_id() >= 0, skip)
+    made = found.withColumns({"nb": nb.cast("long"), "skip": kept}).drop("_near", *[f"_{c}" for c in GEOMETRY])
+    return made if whole else made.where("skip is null")
 
 
 def orientation_votes(anchored: DataFrame) -> DataFrame:

@@ -104,7 +104,8 @@ def _alignments(spark, text, **tables):
 
 
 def _geometry(spark):
-    return spark.createDataFrame([(k, *v) for k, v in _GEOMETRY.items()], ["reference", *N.GEOMETRY])
+    rows = ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in _GEOMETRY.items())
+    return spark.sql(f"select * from values {rows} as g(reference, {', '.join(N.GEOMETRY)})")
 
 
 def _anchor_sql(text: str) -> str:
@@ -150,12 +151,12 @@ def _coordinates_sql(reverse: bool, arm: int) -> str:
 _Q = "q_junction, q_cca_a, q_div_m1, q_body_mid, q_polya_mid"
 
 
-def _anchored(spark, text, **tables):
-    return N.anchor_reads(_alignments(spark, text, **tables), _geometry(spark), _OFFSETS, least_mapq=20)
+def _anchored(spark, text, whole=True, **tables):
+    return N.anchor_reads(_alignments(spark, text, **tables), _geometry(spark), _OFFSETS, least_mapq=20, whole=whole)
 
 
-def _lines(spark, sf):
-    return _anchored(spark, _LINES, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+def _lines(spark, sf, whole=True):
+    return _anchored(spark, _LINES, whole, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
 
 
 @query(f"with {_anchor_sql(_LINES.format(lineitem='lineitem'))} select read_id, skip, nb, {_Q}, array_to_string(qf, ',') as qf from anchored")
@@ -167,16 +168,15 @@ def anchored_reads(spark, sf):
   select 'time' as mode, * from ({_coordinates_sql(False, 0)}) union all select 'reversed' as mode, * from ({_coordinates_sql(True, 0)})
   union all select 'counted' as mode, * from ({_coordinates_sql(False, 3)}))""")
 def junction_coordinates(spark, sf):
-    """All anchored reads in three ways: in time, reversed, and with counted arm bases."""
-    anchored = _lines(spark, sf).where("skip is null")
+    """All anchored reads in three ways: in time, reversed, and with counted arm bases. They are anchored once."""
+    found = _lines(spark, sf, whole=False)
     names = ["junction_sig", "junction_dwell", "cca_a_sig", "cca_a_dwell", "body_mid_sig", "polya_mid_sig", "arm_depth", "aligner_depth", "common_start_sig", "mask_source"]
-    found = None
-    for mode, back, arm in (("time", False, 0), ("reversed", True, 0), ("counted", False, 3)):
-        c = N.signal_coordinates(anchored, _OFFSETS, back, arm)
+    modes = {"time": (False, 0), "reversed": (True, 0), "counted": (False, 3)}
+    for mode, (back, arm) in modes.items():
+        c = N.signal_coordinates(found, _OFFSETS, back, arm)
         texts = [F.array_join(f"spans.{k}", ",").alias(f"{k}s") for k in ("start", "end")]
-        one = c.select(F.lit(mode).alias("mode"), "read_id", *names, *texts)
-        found = one if found is None else found.unionByName(one)
-    return found
+        found = c.select(*found.columns, F.struct(F.lit(mode).alias("mode"), "read_id", *names, *texts).alias(f"_{mode}"))
+    return found.select(F.explode(F.array(*[f"_{mode}" for mode in modes])).alias("c")).select("c.*")
 
 
 @query(f"with {_anchor_sql(_LINES.format(lineitem='lineitem'))} select count(*) as n, avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) as share_reversed, 'forward' as decision from anchored where skip is null and q_body_mid < nb having avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) < 0.05 union all select count(*), avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end), 'reversed' from anchored where skip is null and q_body_mid < nb having avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) > 0.95")

@@ -129,3 +129,30 @@ def test_reference_positions_equal_a_walk_over_the_bases(spark):
         for k, r in enumerate(wanted):
             near = [c for d in range(3) for c in (r + d, r - d) if c in at and not (r < 13 <= c)]
             assert (got[i][k] and tuple(got[i][k])) == ((at[near[0]], near[0]) if near else None)
+
+
+def test_anchors_move_no_read_and_are_made_once(spark):
+    ops = [("S", 2), ("M", 20), ("D", 1), ("M", 9)]
+    rows = [(i, "AAR"[i % 3], i % 4 > 0, False, False, False, 15 + i % 10, i % 6, ops, [1] * (12 + i % 20), 2, 0, 90) for i in range(300)] + [(None, "A", True, False, False, False, 60, 0, ops, [1] * 40, 2, 0, 90)]
+    schema = "read_id long, reference string, mapped boolean, reverse boolean, secondary boolean, supplementary boolean, mapq int, start long, ops array<struct<op:string,len:long>>, moves array<int>, stride int, ts int, ns long"
+    alignments = spark.createDataFrame(rows, schema)
+    geometry = spark.createDataFrame([("A", 9, 10, 16, 4, 18)], ["reference", *N.GEOMETRY])
+    every = N.anchor_reads(alignments, geometry, OFFSETS, 20)
+    chosen = every.where("skip is null")
+    # The reads of a few references gathered in as many tasks, and a test of skip made the anchors anew for each of its terms.
+    plan = chosen._jdf.queryExecution()
+    assert "Exchange hashpartitioning" not in plan.executedPlan().toString() and "SortMergeJoin" not in plan.executedPlan().toString()
+    assert plan.optimizedPlan().toString().count("aggregate(") == 1
+    only = N.anchor_reads(alignments, geometry, OFFSETS, 20, whole=False)
+    assert only._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert sorted(map(str, only.collect())) == sorted(map(str, chosen.collect())) and chosen.count()
+    assert {r["skip"] for r in every.select("skip").distinct().collect()} >= {None, "filtered", "low_mapq", "no_geometry", "query_out_of_range", "bad_name"}
+    assert every.count() == 301
+
+
+def test_coordinates_of_all_ways_read_the_lines_once(spark):
+    from strandline.plans.models import QUERIES
+
+    found = QUERIES["junction_coordinates"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == 1
+    assert {r["mode"] for r in found.select("mode").distinct().collect()} == {"time", "reversed", "counted"}
