@@ -181,7 +181,7 @@ def junction_coordinates(spark, sf):
 
 @query(f"with {_anchor_sql(_LINES.format(lineitem='lineitem'))} select count(*) as n, avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) as share_reversed, 'forward' as decision from anchored where skip is null and q_body_mid < nb having avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) < 0.05 union all select count(*), avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end), 'reversed' from anchored where skip is null and q_body_mid < nb having avg(case when s2s[q_junction + 1] < s2s[q_body_mid + 1] then 0.0 else 1.0 end) > 0.95")
 def anchored_orientation(spark, sf):
-    return R.orientation(N.orientation_votes(_lines(spark, sf)))
+    return R.orientation(N.orientation_votes(_lines(spark, sf, whole=False)))
 
 
 #: Cells of the feature grid (offsets x dwell, mean, sd, residual), and two trees over them.
