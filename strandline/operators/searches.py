@@ -10,34 +10,42 @@ BIN_SHIFT, LEVEL_SHIFT, LEVELS = 14, 3, 6
 
 
 def _bin(position: Column, level: int, shift: int) -> Column:
-    return F.shiftright(position.cast("long"), shift + LEVEL_SHIFT * level)
+    return F.shiftright(position.cast("long"), min(shift + LEVEL_SHIFT * level, 62))
 
 
-def region_hits(alignments: DataFrame, regions: DataFrame, shift: int = BIN_SHIFT, levels: int = LEVELS) -> DataFrame:
-    """Every pair of an alignment and a region that overlap: the columns of ``alignments`` with region_id.
-
-    alignments: contig, start, end_pos and others; regions: region_id, contig, from_pos, to_pos; both
-    intervals closed. An alignment lies in the one smallest bin that holds it; a region asks for the bins
-    of every level that it touches, so a pair meets once, by an equi-join on (contig, level, bin). What fits
-    in no bin is on the last level, which is one bin. Intervals that end before they start, and null
-    positions or contigs, meet nothing.
-    """
-    start, end = F.col("start"), F.col("end_pos")
+def placed_alignments(alignments: DataFrame, shift: int = BIN_SHIFT, levels: int = LEVELS) -> DataFrame:
+    """``alignments`` with _level and _bin: one row each, but those longer than all levels' bins one for each bin of the further level."""
+    start, end = F.col("start").cast("long"), F.col("end_pos").cast("long")
     level = F.lit(levels)
     for k in reversed(range(levels)):
-        level = F.when(_bin(start, k, shift) == _bin(end, k, shift), k).otherwise(level)
+        level = F.when(_bin(end - start, k, shift) == 0, k).otherwise(level)
     placed = alignments.where("end_pos >= start").withColumn("_level", level.cast("int"))
-    own = F.lit(0).cast("long")
+    own = F.sequence(_bin(start, levels, shift), _bin(end, levels, shift))
     for k in range(levels):
-        own = F.when(F.col("_level") == k, _bin(start, k, shift)).otherwise(own)
-    placed = placed.withColumn("_bin", own)
+        own = F.when(F.col("_level") == k, F.array(_bin(start, k, shift))).otherwise(own)
+    return placed.withColumn("_bin", F.explode(own))
+
 
-    touched = [F.sequence(_bin(F.col("from_pos"), k, shift), _bin(F.col("to_pos"), k, shift)) for k in range(levels)]
-    tagged = [F.transform(t, _tag(k)) for k, t in enumerate(touched)] + [F.array(F.struct(F.lit(levels).alias("level"), F.lit(0).cast("long").alias("bin")))]
-    asked = regions.where("to_pos >= from_pos").select("region_id", F.col("contig").alias("_contig"), "from_pos", "to_pos", F.explode(F.concat(*tagged)).alias("_b"))
+def region_hits(alignments: DataFrame, regions: DataFrame, shift: int = BIN_SHIFT, levels: int = LEVELS) -> DataFrame:
+    """Every pair of an alignment and a region that overlap: the columns of ``alignments`` with region_id.
+
+    alignments: contig, start, end_pos and others; regions: region_id, contig, from_pos, to_pos; both
+    intervals closed. The level of an alignment is the first whose bins are as wide as it is long, its bin
+    that of its start; a region asks on every level for the bins that it touches and the one before, so a
+    pair meets once, by an equi-join on (contig, level, bin), and no place gathers alignments of elsewhere.
+    Those longer than all levels' bins are on a further level, in each bin that they touch, and count in
+    the first bin of both. Intervals that end before they start, and null positions or contigs, meet nothing.
+    The regions' bins are many times their rows, so they are never broadcast.
+    """
+    start, end = F.col("start").cast("long"), F.col("end_pos").cast("long")
+    placed = placed_alignments(alignments, shift, levels)
+    lowest = lambda k: _bin(F.col("from_pos"), k, shift) - (1 if k < levels else 0)
+    touched = [F.sequence(lowest(k), _bin(F.col("to_pos"), k, shift)) for k in range(levels + 1)]
+    asked = regions.where("to_pos >= from_pos").select("region_id", F.col("contig").alias("_contig"), "from_pos", "to_pos", F.explode(F.concat(*[F.transform(t, _tag(k)) for k, t in enumerate(touched)])).alias("_b"))
     asked = asked.select("region_id", "_contig", "from_pos", "to_pos", F.col("_b.level").alias("_region_level"), F.col("_b.bin").alias("_region_bin"))
-    met = placed.join(asked, (F.col("contig") == F.col("_contig")) & (F.col("_level") == F.col("_region_level")) & (F.col("_bin") == F.col("_region_bin")))
-    return met.where((start <= F.col("to_pos")) & (end >= F.col("from_pos"))).select(*alignments.columns, "region_id")
+    met = placed.join(asked.hint("merge"), (F.col("contig") == F.col("_contig")) & (F.col("_level") == F.col("_region_level")) & (F.col("_bin") == F.col("_region_bin")))
+    first = (F.col("_level") < levels) | (F.col("_bin") == _bin(F.greatest(start, F.col("from_pos").cast("long")), levels, shift))
+    return met.where((start <= F.col("to_pos")) & (end >= F.col("from_pos")) & first).select(*alignments.columns, "region_id")
 
 
 def _tag(level: int):

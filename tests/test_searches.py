@@ -53,6 +53,17 @@ def test_regions(spark):
     assert H.region_hits(a.limit(0), r).count() == 0 and H.region_hits(a, r.limit(0)).count() == 0
 
 
+def test_regions_compare_only_neighbours(spark):
+    # Every alignment crosses a border of all levels' bins: they were all compared with all regions.
+    a = spark.range(3000).selectExpr("id as read_id", "'x' as contig", "(id + 1) * 1024 - 2 as start", "(id + 1) * 1024 + 2 as end_pos")
+    r = spark.range(3000).selectExpr("id as region_id", "'x' as contig", "(id + 1) * 1024 as from_pos", "(id + 1) * 1024 + 9 as to_pos")
+    met = H.region_hits(a, r, shift=4, levels=3)
+    assert met.where("read_id = region_id").count() == met.count() == 3000
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()  # many times the regions' rows
+    gathered = H.placed_alignments(a, 4, 3).groupBy("contig", "_level", "_bin").count()
+    assert gathered.agg(F.max("count"), F.sum("count")).first()[:] == (1, 3000)
+
+
 def plain_gains(x, least, trim, window, check, stride):
     var = lambda v: np.mean(v * v) - np.mean(v) ** 2 if len(v) else 0.0
     out = {}
