@@ -57,21 +57,26 @@ def within_distance(queries: DataFrame, references: DataFrame, limit: int) -> Da
 
     A reference is cut into limit + 1 pieces: ``limit`` edits leave one of them whole, at most ``limit``
     places from its own. Queries are cut at these places, so only pairs that share a piece are compared,
-    by the banded distance that gives up past the limit; queries x references is never formed. References
+    by the banded distance that gives up past the limit; queries x references is never formed. Each
+    different sequence is cut and compared once, however many ids have it. References
     of ``limit`` characters and fewer have empty pieces and are compared with the queries short enough.
     Null sequences and names or ids match nothing.
     """
     pieces = limit + 1
-    asked = references.where("name is not null and ref_sequence is not null").select("name", "ref_sequence", F.length("ref_sequence").alias("_n"))
+    panel = references.where("name is not null and ref_sequence is not null").select("name", "ref_sequence").distinct()
+    texts = queries.where("id is not null and sequence is not null").select("id", "sequence")
+    asked = panel.select("ref_sequence").distinct().withColumn("_n", F.length("ref_sequence"))
     at = F.transform(F.sequence(F.lit(0), F.lit(pieces)), lambda i: F.expr("_n").cast("long") * i)
     cuts = asked.withColumn("_at", F.transform(at, lambda x: F.floor(x / pieces).cast("int")))
-    seeds = cuts.select("name", "ref_sequence", F.explode(F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda i: F.struct(F.get("_at", i).alias("at"), (F.get("_at", i + 1) - F.get("_at", i)).alias("size")))).alias("_p"))
-    seeds = seeds.select("name", "ref_sequence", F.col("_p.at").alias("at"), F.col("_p.size").alias("size"), F.substring("ref_sequence", F.col("_p.at") + 1, F.col("_p.size")).alias("_piece"))
+    seeds = cuts.select("ref_sequence", F.explode(F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda i: F.struct(F.get("_at", i).alias("at"), (F.get("_at", i + 1) - F.get("_at", i)).alias("size")))).alias("_p"))
+    seeds = seeds.select("ref_sequence", F.col("_p.at").alias("at"), F.col("_p.size").alias("size"), F.substring("ref_sequence", F.col("_p.at") + 1, F.col("_p.size")).alias("_piece"))
     # The few places and sizes at which references of the panel are cut, as one row; a panel has few lengths.
     shapes = seeds.select("at", "size").distinct().agg(F.collect_set(F.struct("at", "size")).alias("_shapes"))
-    own = queries.where("id is not null and sequence is not null").join(F.broadcast(shapes))
+    own = texts.select("sequence").distinct().join(F.broadcast(shapes))
     places = F.flatten(F.transform("_shapes", lambda s: F.transform(F.sequence(F.greatest(s["at"] - limit, F.lit(0)), F.greatest(F.least(s["at"] + limit, F.length("sequence") - s["size"]), F.greatest(s["at"] - limit, F.lit(0)))), lambda p: F.struct(s["at"].alias("at"), s["size"].alias("size"), F.substring("sequence", p + 1, s["size"]).alias("_piece")))))
-    cut = own.select("id", "sequence", F.explode(F.array_distinct(F.filter(places, lambda x: F.length(x["_piece"]) == x["size"]))).alias("_q"))
-    met = cut.select("id", "sequence", F.col("_q.at").alias("at"), F.col("_q.size").alias("size"), F.col("_q._piece").alias("_piece")).join(seeds, ["at", "size", "_piece"])
-    near = met.where(F.abs(F.length("sequence") - F.length("ref_sequence")) <= limit).select("id", "sequence", "name", "ref_sequence").distinct()
-    return near.withColumn("distance", F.levenshtein("sequence", "ref_sequence", limit)).where("distance >= 0").select("id", "name", "distance")
+    cut = own.select("sequence", F.explode(F.array_distinct(F.filter(places, lambda x: F.length(x["_piece"]) == x["size"]))).alias("_q"))
+    # A panel and its pieces, several times its rows, grow with the input: no broadcast.
+    met = cut.select("sequence", F.col("_q.at").alias("at"), F.col("_q.size").alias("size"), F.col("_q._piece").alias("_piece")).join(seeds.hint("merge"), ["at", "size", "_piece"])
+    near = met.where(F.abs(F.length("sequence") - F.length("ref_sequence")) <= limit).select("sequence", "ref_sequence").distinct()
+    near = near.withColumn("distance", F.levenshtein("sequence", "ref_sequence", limit)).where("distance >= 0")
+    return texts.distinct().join(near.join(panel.hint("merge"), "ref_sequence"), "sequence").select("id", "name", "distance")

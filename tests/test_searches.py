@@ -38,6 +38,18 @@ def test_pairs_within_a_distance(spark, limit):
     assert got == want and want
 
 
+def test_each_different_sequence_is_compared_once(spark):
+    queries = spark.range(900).selectExpr("id", "case id % 3 when 0 then 'ACGTACGT' when 1 then 'ACGTACG' else 'TTTTTTTT' end as sequence")
+    queries = queries.unionByName(queries.where("id < 5"))  # a repeated row counts once
+    panel = spark.createDataFrame([("a", "ACGTACGA"), ("a", "ACGTACGA"), ("b", "ACGTACGA"), ("c", "GGGGGGGG")], "name string, ref_sequence string")
+    found = H.within_distance(queries, panel, 2)
+    plan = found._jdf.queryExecution()
+    cut = [line for line in plan.optimizedPlan().toString().split("\n") if "Generate" in line and "array_distinct" in line]
+    assert len(cut) == 1 and "sequence#" in cut[0] and "id#" not in cut[0]  # ids were cut and compared each for itself
+    assert "BroadcastHashJoin" not in plan.executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((i, n, 1) for i in range(900) if i % 3 < 2 for n in "ab")
+
+
 def test_regions(spark):
     rng = random.Random(3)
     spans = lambda n, most: [(i, rng.choice("xyz"), a, a + rng.choice([0, 1, 5, most])) for i, a in enumerate(rng.randrange(0, 3000) for _ in range(n))]
