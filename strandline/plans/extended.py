@@ -198,7 +198,7 @@ def formatted_numbers(spark, sf):
 def codec_samples(spark, sf):
     """Every sample after a round trip through the signal codec."""
     pack = K.column(lambda x: K.compress_signal([round(v * 1000) for v in x]), "binary")
-    unpack = K.column(lambda d, n: K.decompress_signal(d, int(n)).tolist(), "array<double>")
+    unpack = K.column(lambda d, n: K.decompress_signal(d, int(n)).astype(float), "array<double>")
     packed = _vectors(spark, sf).select("id", pack("x").alias("data"), F.size("x").cast("long").alias("n"))
     return _exploded(packed.select("id", unpack("data", "n").alias("y")))
 

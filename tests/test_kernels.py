@@ -100,3 +100,13 @@ def test_codec(n):
 def test_theil_sen():
     fit = K.theil_sen([0, 1, 2, 3, 4], [1, 3, 5, 7, 100])
     assert fit == {"slope": 2.0, "intercept": 1.0}
+
+
+def test_exploded_arrays_are_made_once(spark):
+    from strandline.plans.registry import _exploded
+
+    pack = K.column(lambda x: [v * 2 for v in x], "array<double>")
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, []), (3, None), (4, [3.0])], "id long, x array<double>")
+    found = _exploded(df.select("id", pack("x").alias("y")))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 2.0), (1, 2, 4.0), (4, 1, 6.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
