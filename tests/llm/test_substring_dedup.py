@@ -106,3 +106,18 @@ def test_one_region_in_half_of_many_documents(spark):
     rows = [(i, f"a{i} b{i} {passage} c{i}" if i % 2 else f"a{i} only{i} {twice if i in (100, 2000) else ''}") for i in range(10_000)]
     got = {r.doc_id: r.n_removed for r in sd.remove_repeats(helpers.docs(spark, rows)).select("doc_id", "n_removed").collect()}
     assert got == {i: 70 if i % 2 and i > 1 else 55 if i == 2000 else 0 for i in range(10_000)}
+
+
+def test_texts_are_shuffled_packed(spark):
+    import pandas as pd
+
+    from strandline.llm import substring_dedup as S
+
+    texts = [None, "", "a", "\u00e9\u4e2d " * 500, " ".join(f"w{i}" for i in range(3000))]
+    kept = S._pack(pd.Series(texts, dtype=object))
+    assert kept[0] is None and [S.unpacked(k).decode() for k in kept] == [t or "" for t in texts]
+    assert len(kept[3]) < 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = S.remove_repeats(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joined = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert any("_pack(" in line for line in plan[joined:])  # below the join, so before its shuffle
