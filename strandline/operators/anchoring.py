@@ -37,22 +37,27 @@ def aligned_runs(ops: Column, start: Column, low: Column, high: Column) -> Colum
     return F.aggregate(ops, first, step, lambda s: s["runs"])
 
 
-def nearest_base(runs: Column, r: Column, barrier: Column | None = None) -> Column:
+def nearest_base(runs: Column, r: Column, cap: Column | None = None) -> Column:
     """struct(off, below, base): the aligned reference position nearest to ``r``, the higher of equals, by how far it is off, and its base; null without runs.
 
-    A position below the barrier is never filled from one at or above it. Every run has one nearest
-    position, so this is one pass over the runs.
+    No position above ``cap`` is used (null: any). Every run has one nearest position, so this is one pass
+    over the runs.
     """
 
     def of_run(x: Column) -> Column:
         last = x["r"] + x["n"] - 1
-        last = last if barrier is None else F.when(r < barrier, F.least(last, barrier - 1)).otherwise(last)
-        at = F.least(F.greatest(r, x["r"]), last)
-        return F.when(x["r"] <= last, F.struct(F.abs(at - r).alias("off"), (at < r).alias("below"), (x["q"] + at - x["r"]).alias("base")))
+        at = F.least(F.greatest(r, x["r"]), last if cap is None else F.least(last, cap))
+        # Bound, or it would be made anew for each field.
+        return A.bound(at, lambda at: F.when(at >= x["r"], F.struct(F.abs(at - r).alias("off"), (at < r).alias("below"), (x["q"] + at - x["r"]).alias("base"))))
 
     return F.array_min(F.transform(runs, of_run))
 
 
+def below_barrier(r: Column, barrier: Column) -> Column:
+    """The cap of a position below the barrier, which is never filled from one at or above it; others have none."""
+    return F.when(r < barrier, barrier - 1)
+
+
 def within(near: Column, slop: int = SLOP) -> Column:
     return F.when(near["off"] <= slop, near["base"])
 
@@ -62,7 +67,7 @@ def reference_positions(alignments: DataFrame, wanted: Column, slop: int = SLOP,
 
     def one(found: Column, r: Column) -> Column:
         donor = lambda n: r + F.when(n["below"], -n["off"]).otherwise(n["off"])
-        return A.bound(nearest_base(found, r, barrier), lambda n: F.when(n["off"] <= slop, F.struct(n["base"].alias("base"), donor(n).alias("donor"))))
+        return A.bound(nearest_base(found, r, None if barrier is None else below_barrier(r, barrier)), lambda n: F.when(n["off"] <= slop, F.struct(n["base"].alias("base"), donor(n).alias("donor"))))
 
     runs = aligned_runs(F.col("ops"), F.col("start"), F.array_min(wanted) - slop, F.array_max(wanted) + slop)
     return alignments.withColumn("query", A.bound(runs, lambda found: F.transform(wanted, lambda r: one(found, r.cast("long")))))
@@ -87,30 +92,36 @@ def anchor_reads(alignments: DataFrame, geometry: DataFrame, offsets: list[int],
     SLOP, the last three null where there is none) and qf, for each offset from the junction the base
     aligned exactly there, or -1.
     """
-    named = geometry.select("reference", *[F.col(c).cast("long").alias(f"_{c}") for c in GEOMETRY])
-    barrier, junction = F.col("_divergent"), F.col("_junction")
-    marks = {"q_cca_a": F.col("_cca_a"), "q_junction": junction, "q_div_m1": barrier - 1, "q_body_mid": F.col("_body_mid"), "q_polya_mid": F.col("_polya_mid")}
-    at_offsets = F.array(*[junction + o for o in offsets]).cast("array<bigint>")
-    wanted = F.concat(F.array(*marks.values()), at_offsets)
-    runs = aligned_runs(F.col("ops"), F.col("start"), F.array_min(wanted) - SLOP, F.array_max(wanted) + SLOP)
+    mark = {c: F.col(c).cast("long") for c in GEOMETRY}
+    barrier, junction = mark["divergent"], mark["junction"]
+    marks = {"q_cca_a": mark["cca_a"], "q_junction": junction, "q_div_m1": barrier - 1, "q_body_mid": mark["body_mid"], "q_polya_mid": mark["polya_mid"]}
+    wanted = F.array(*marks.values(), *[junction + o for o in offsets])
+    # What depends on the reference only is made once for it, not for each read.
+    named = geometry.select(
+        "reference", junction.alias("_junction"), (F.array_min(wanted) - SLOP).alias("_low"), (F.array_max(wanted) + SLOP).alias("_high"),
+        F.transform(wanted, lambda r: F.struct(r.alias("r"), below_barrier(r, barrier).alias("cap"))).alias("_wanted"),
+    )
+    none = F.array_repeat(F.lit(None).cast("struct<r:bigint,cap:bigint>"), len(marks) + len(offsets))
+    runs = aligned_runs(F.col("ops"), F.col("start"), F.col("_low"), F.col("_high"))
     early = (
         F.when(~F.col("mapped") | F.col("reverse") | F.col("secondary") | F.col("supplementary"), "filtered")
         .when(F.coalesce("mapq", F.lit(255)) < least_mapq, "low_mapq")
-        .when(junction.isNull(), "no_geometry")
+        .when(F.col("_junction").isNull(), "no_geometry")
         .when(F.col("moves").isNull() | F.col("ns").isNull() | F.col("stride").isNull(), "no_tags")
     )
     joined = alignments.join(F.broadcast(named), "reference", "left")
     # Bound, or the runs would be made anew for each position.
     found = (joined if whole else joined.where(early.isNull())).withColumns(
         {
-            "_near": A.bound(runs, lambda found: F.transform(wanted, lambda r: nearest_base(found, r, barrier))),
+            "_near": A.bound(runs, lambda found: F.transform(F.coalesce("_wanted", none), lambda w: nearest_base(found, w["r"], w["cap"]))),
             "seq_to_sig": signal_map(F.col("moves"), F.col("stride"), F.coalesce("ts", F.lit(0)), F.col("ns")),
+            # Counted, not the map's size: a query that takes no samples makes no map.
+            "nb": F.size(F.filter("moves", lambda m: (m == 1) & F.col("stride").isNotNull())).cast("long"),
         }
     )
     exact = F.transform(F.slice("_near", len(marks) + 1, len(offsets)), lambda x: F.when(x["off"] == 0, x["base"]).otherwise(-1))
     found = found.withColumns({"qf": exact} | {name: within(F.get("_near", F.lit(i))) for i, name in enumerate(marks)})
-    nb = F.size("seq_to_sig") - 1
-    outside = F.array_max(F.transform("_near", lambda x: within(x))) >= nb
+    outside = F.array_max(F.transform("_near", lambda x: within(x))) >= F.col("nb")
     skip = (
         early.when(F.col("q_junction").isNull() | F.col("q_cca_a").isNull(), "unanchored")
         .when(outside, "query_out_of_range")
@@ -118,7 +129,7 @@ def anchor_reads(alignments: DataFrame, geometry: DataFrame, offsets: list[int],
     )
     # Always true, but not deterministic: else a test of skip would move below the anchors and make them anew for each of its terms.
     kept = F.when(F.monotonically_increasing_id() >= 0, skip)
-    made = found.withColumns({"nb": nb.cast("long"), "skip": kept}).drop("_near", *[f"_{c}" for c in GEOMETRY])
+    made = found.withColumn("skip", kept).drop("_near", "_junction", "_low", "_high", "_wanted")
     return made if whole else made.where("skip is null")
 
 

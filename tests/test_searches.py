@@ -179,3 +179,47 @@ def test_coordinates_of_all_ways_read_the_lines_once(spark):
     found = QUERIES["junction_coordinates"](spark, "/root/testdata/sf0.001")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == 1
     assert {r["mode"] for r in found.select("mode").distinct().collect()} == {"time", "reversed", "counted"}
+
+
+def test_anchors_of_odd_reads_by_walk(spark):
+    rng = random.Random(8)
+    geometry = {"A": (9, 10, 16, 4, 18), "N": (11, 12, 18, 5, 20), "P": (9, 10, None, None, 18)}
+    rows = []
+    for i in range(240):
+        ops = [(rng.choice("MMM=XIDNSH"), rng.randrange(0, 8)) for _ in range(rng.randrange(0, 10))]
+        moves = None if i % 9 == 0 else [rng.choice([0, 1, 1, None]) for _ in range(rng.randrange(0, 40))]
+        rows.append((i, rng.choice(["A", "N", "P", "R", None]), True, False, False, False, None if i % 7 == 0 else 60, rng.randrange(0, 8), ops, moves, None if i % 10 == 1 else 2, None if i % 2 else 3, None if i % 10 == 2 else 90))
+    schema = "read_id long, reference string, mapped boolean, reverse boolean, secondary boolean, supplementary boolean, mapq int, start long, ops array<struct<op:string,len:long>>, moves array<int>, stride int, ts int, ns long"
+    marked = spark.createDataFrame([(k, *v) for k, v in geometry.items()], "reference string, " + ", ".join(f"{c} int" for c in N.GEOMETRY))
+    found = N.anchor_reads(spark.createDataFrame(rows, schema), marked, OFFSETS, 20)
+    got = {r["read_id"]: r for r in found.collect()}
+    seen = set()
+    for i, reference, *_, start, ops, moves, stride, ts, ns in rows:
+        at, (cca_a, junction, divergent, body, polya) = by_walk(start, ops), geometry.get(reference, (None,) * 5)
+
+        def near(r):
+            places = [c for d in range(3) for c in (r + d, r - d) if c in at and not (divergent is not None and r < divergent <= c)] if r is not None else []
+            return at[places[0]] if places else None
+
+        r, wanted = got[i], {"q_cca_a": cca_a, "q_junction": junction, "q_div_m1": divergent and divergent - 1, "q_body_mid": body, "q_polya_mid": polya}
+        assert {k: r[k] for k in wanted} == {k: near(v) for k, v in wanted.items()}
+        assert r["qf"] == [-1 if junction is None else at.get(junction + o, -1) for o in OFFSETS]
+        mapped = None if moves is None else [k * stride + (ts or 0) for k, m in enumerate(moves) if m == 1 and stride is not None] + [ns]
+        assert r["seq_to_sig"] == mapped and r["nb"] == (mapped and len(mapped) - 1)
+        bases = [near(x) for x in [*wanted.values(), *[junction and junction + o for o in OFFSETS]]]
+        early = "no_geometry" if junction is None else "no_tags" if None in (moves, stride, ns) else "unanchored" if None in (r["q_junction"], r["q_cca_a"]) else None
+        assert r["skip"] == (early or ("query_out_of_range" if max(b for b in bases if b is not None) >= r["nb"] else None))
+        seen.add(r["skip"])
+    assert seen == {None, "no_geometry", "no_tags", "unanchored", "query_out_of_range"}
+
+
+def test_anchored_reads_are_neither_moved_nor_mapped(spark):
+    from strandline.plans.models import QUERIES
+
+    plan = QUERIES["anchored_reads"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "Exchange hashpartitioning" not in plan.executedPlan().toString()
+    text = plan.optimizedPlan().toString()
+    # The bases were counted by the length of a map that no column takes, and each run's place was made four times.
+    assert "seq_to_sig" not in text and text.count("greatest(") == 1
+    # The places wanted of a reference were made for every read; none is left to make.
+    assert "array_max(concat" not in text and text.count("aggregate(") == 1
